@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality_rules, sharding
+from . import decontamination, quality_rules, sharding
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_sharding": sharding.op2_sharding,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
-ORACLES = {"op9_quality_rules": quality_rules.ORACLE}
+ORACLES = {"op1_decontamination": decontamination.ORACLE, "op9_quality_rules": quality_rules.ORACLE}
