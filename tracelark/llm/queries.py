@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, quality_rules, sharding
+from . import decontamination, jaccard_join, quality_rules, sharding
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_sharding": sharding.op2_sharding,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 ORACLES = {"op1_decontamination": decontamination.ORACLE, "op9_quality_rules": quality_rules.ORACLE}
