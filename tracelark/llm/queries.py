@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, quality_rules, sharding
+from . import decontamination, html_extraction, jaccard_join, quality_rules, sharding, url_filter
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_sharding": sharding.op2_sharding,
+    "op3_url_filter": url_filter.op3_url_filter,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_html_extraction": html_extraction.op10_html_extraction,
 }
 ORACLES = {"op1_decontamination": decontamination.ORACLE, "op9_quality_rules": quality_rules.ORACLE}
