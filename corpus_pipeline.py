@@ -4,12 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from tracelark.llm import _store, decontamination, jaccard_join, ordinal_quality, packing, quality_rules
+
+
+def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules, their own and their host's."""
+    return quality_rules.quality_rules(docs).where("kept").select(*docs.columns)
+
+
+def keep_by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal classifier, trained on the labels, does not reject."""
+    model = ordinal_quality.train(docs, ordinal_quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return ordinal_quality.rate(docs, model).where("kept").select(*docs.columns)
+
+
+def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that of the smallest id."""
+    return jaccard_join.one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of the benchmark; those that consist of such passages go."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in their sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", keep_by_rules),
+    ("quality_classifier", keep_by_quality),
+    ("jaccard_join", keep_one_copy),
+    ("decontamination", decontaminate),
+    ("packing", pack),
+]
+#: The classifier and the automaton are no SQL: tests/llm holds the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES over documents; each stage's rows are written to the shared folder and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = _store.durable(docs, name)
     return docs
