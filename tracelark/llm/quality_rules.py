@@ -77,7 +77,10 @@ def _covered(df: DataFrame) -> DataFrame:
         ((k > 0) & (F.get("_p", F.greatest(k - 1, F.lit(0)))["h"] == x["h"])) | ((k < n - 1) & (F.get("_p", F.least(k + 1, n - 1))["h"] == x["h"])), x["i"])), lambda i: i.isNotNull()))
     df = df.withColumn("_i", F.when(F.size("_d") == 0, none).when(F.size("_d") <= 48, few).otherwise(many)).drop("_h", "_d", "_p")
     gaps = F.zip_with(F.col("_i"), F.slice(F.col("_i"), 2, F.greatest(F.size("_i"), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
-    return df.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0), lambda x, y: x + y).cast("long")).drop("_i")
+    df = df.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0), lambda x, y: x + y).cast("long")).drop("_i")
+    # one row in, one row out: a generator keeps the optimizer from copying these expressions into later filters
+    made = ("word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines", "n_repeat_words")
+    return df.select(*[c for c in df.columns if c not in made], F.inline(F.array(F.struct(*made))))
 
 
 def judged(docs: DataFrame, limits: RuleLimits = RuleLimits(), text: str = "text") -> DataFrame:
