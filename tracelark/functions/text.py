@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from .stemmer import stem
 
@@ -44,7 +44,7 @@ def drop_stopwords(words: Column, stopwords=STOPWORDS) -> Column:
     return F.filter(words, lambda w: ~w.isin(*stopwords)) if stopwords else words
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stem_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     memo: dict[str, str] = {}
     for s in batches:
