@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 KEYS = ["source_id", "target_id"]
-_ROW = W.partitionBy("source_id").orderBy(F.desc("score"), F.asc("target_id"))
-
-
 def lookup(links: DataFrame, pairs: DataFrame) -> DataFrame:
     """The score of each pair, 0 where there is no link."""
     return pairs.join(links, KEYS, "left").select(*KEYS, F.coalesce("score", F.lit(0.0)).alias("score"))
@@ -31,7 +28,7 @@ def below(links: DataFrame, threshold: float) -> DataFrame:
 
 def top_k(links: DataFrame, k: int) -> DataFrame:
     """The k best links of each source, ties by target."""
-    return links.withColumn("_r", F.row_number().over(_ROW)).where(F.col("_r") <= k).drop("_r")
+    return links.withColumn("_r", F.row_number().over(W.partitionBy("source_id").orderBy(F.desc("score"), F.asc("target_id")))).where(F.col("_r") <= k).drop("_r")
 
 
 def relative_top_k(links: DataFrame, k: int = 3, share: float = 0.5) -> DataFrame:
