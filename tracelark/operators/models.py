@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .postings import postings, union_weights
 
-#: Cells of a dense term-document matrix up to which the decomposition runs on the driver (8 bytes each).
-LOCAL_CELLS = 40_000_000
+#: Documents and postings up to which the decomposition runs on the driver.
+LOCAL_DOCS, LOCAL_POSTINGS = 3_000, 3_000_000
 
 
 class Model(Protocol):
@@ -71,16 +71,16 @@ def jsd(src: DataFrame, tgt: DataFrame, dense: bool = True) -> DataFrame:
     return grid.select("source_id", "target_id", F.greatest(zero, 1 - (F.col("ms") + F.col("mt")) / 2 + F.coalesce("m", zero) / 2 - F.coalesce("d", zero)).alias("score"))
 
 
-def lsi(src: DataFrame, tgt: DataFrame, dense: bool = True, k: int | None = None, local_cells: int = LOCAL_CELLS) -> DataFrame:
+def lsi(src: DataFrame, tgt: DataFrame, dense: bool = True, k: int | None = None, local_docs: int = LOCAL_DOCS) -> DataFrame:
     """Cosines of TF-IDF whose cells are replaced by their rank-k reconstruction where that is positive; k = min(|S|, |T|, 100) at most."""
     spark = src.sparkSession
     w = union_weights(postings(src), postings(tgt), _ids(src), _ids(tgt)).select("role", "doc_id", "term", "weight")
     w = w.cache()
-    sizes = src.agg(F.count("*").alias("s")).crossJoin(tgt.agg(F.count("*").alias("t"))).crossJoin(w.agg(F.countDistinct("term").alias("v"))).first()
+    sizes = src.agg(F.count("*").alias("s")).crossJoin(tgt.agg(F.count("*").alias("t"))).crossJoin(w.agg(F.count("*").alias("v"))).first()
     k = min(x for x in (sizes["s"], sizes["t"], 100, k) if x is not None)
     if not k or not sizes["v"]:
         links = spark.createDataFrame([], "source_id string, target_id string, score double")
-    elif (sizes["s"] + sizes["t"]) * sizes["v"] <= local_cells:
+    elif sizes["s"] + sizes["t"] <= local_docs and sizes["v"] <= LOCAL_POSTINGS:
         links = _lsi_local(spark, w.toPandas(), k)
     else:
         links = _lsi_distributed(w, k)
@@ -95,21 +95,33 @@ def _cosines(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return np.where((ns[:, None] > 0) & (nt[None] > 0), out, 0.0)
 
 
-def _lsi_local(spark, p: pd.DataFrame, k: int) -> DataFrame:
+def _lsi_local(spark, p: pd.DataFrame, k: int, width: int = 4096) -> DataFrame:
+    """A_k = U_k U_k' A, with U_k from the documents' Gram matrix; the terms are taken `width` at a time, so nothing dense is wider."""
     docs = p[["role", "doc_id"]].drop_duplicates().sort_values(["role", "doc_id"]).reset_index(drop=True)
-    row = p.merge(docs.reset_index(), on=["role", "doc_id"])["index"].to_numpy()
+    row = p.merge(docs.reset_index(), on=["role", "doc_id"], how="left")["index"].to_numpy()
     terms, col = np.unique(p["term"].to_numpy().astype(str), return_inverse=True)
-    a = np.zeros((len(docs), len(terms)))
-    merged = p.merge(docs.reset_index(), on=["role", "doc_id"])
-    col = np.searchsorted(terms, merged["term"].to_numpy().astype(str))
-    a[row, col] = merged["weight"].to_numpy()
-    # the reconstruction needs the left vectors only: A_k = U_k U_k' A; they come from the smaller Gram matrix
-    value, u = np.linalg.eigh(a @ a.T)
+    order = np.argsort(col, kind="stable")
+    row, col, weight = row[order], col[order], p["weight"].to_numpy()[order]
+
+    def parts():
+        for c in range(0, len(terms), width):
+            i, j = np.searchsorted(col, (c, c + width))
+            a = np.zeros((len(docs), min(width, len(terms) - c)))
+            a[row[i:j], col[i:j] - c] = weight[i:j]
+            yield a
+
+    value, u = np.linalg.eigh(sum((a @ a.T for a in parts()), np.zeros((len(docs), len(docs)))))
     u = u[:, np.argsort(-value)[:min(k, len(docs))]]
-    a_k = u @ (u.T @ a)
-    a = np.where(a_k > 0, a_k, a)
     s = (docs["role"] == "s").to_numpy()
-    score = _cosines(a[s], a[~s])
+    dot, norm = np.zeros((s.sum(), (~s).sum())), np.zeros(len(docs))
+    for a in parts():
+        a_k = u @ (u.T @ a)
+        a = np.where(a_k > 1e-12, a_k, a)  # what rounding leaves of a zero is none
+        dot += a[s] @ a[~s].T
+        norm += (a * a).sum(1)
+    norm = np.sqrt(norm)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = np.where((norm[s][:, None] > 0) & (norm[~s][None] > 0), dot / (norm[s][:, None] * norm[~s][None]), 0.0)
     sid, tid = docs["doc_id"][s].to_numpy(), docs["doc_id"][~s].to_numpy()
     if not score.size:
         return spark.createDataFrame([], "source_id string, target_id string, score double")
@@ -134,7 +146,7 @@ def _lsi_distributed(w: DataFrame, k: int) -> DataFrame:
         a = np.zeros(n)
         a[[int(y["i"]) for y in x]] = [float(y["weight"]) for y in x]
         a_k = (a @ shared.value) @ shared.value.T
-        return np.where(a_k > 0, a_k, a)
+        return np.where(a_k > 1e-12, a_k, a)
 
     per = max(1, 64_000_000 // (8 * n))  # rows of a block: 64 MB at most
     side = lambda role, name: rows.where(F.col("role") == role).select(F.col("doc_id").alias("id"), F.col("x"), F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-rows.where(F.col("role") == role).count() // per)))).alias(name))
