@@ -408,3 +408,18 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return jaccard_classes(docs).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+ORACLE = r"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS rid, doc_id, [e FOR e IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF e <> ''] AS w FROM documents),
+s AS (SELECT DISTINCT rid, g FROM (SELECT rid, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM t)),
+n AS (SELECT rid, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS k FROM s GROUP BY rid),
+c AS (SELECT k, min(n) AS n, min(rid) AS r FROM n GROUP BY k),
+cs AS (SELECT k, c.n, g FROM s JOIN c ON rid = r),
+l AS (SELECT a.k AS x, b.k AS y FROM cs a JOIN cs b USING (g) WHERE a.k <> b.k GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT k AS x, k AS y FROM c UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x),
+comp AS (SELECT x, min(doc_id) AS component_id FROM reach JOIN n ON n.k = y JOIN t USING (rid) GROUP BY x),
+deg AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CASE WHEN n.n IS NULL THEN doc_id ELSE component_id END AS component_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM t LEFT JOIN n USING (rid) LEFT JOIN comp ON comp.x = n.k LEFT JOIN deg ON deg.x = n.k
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_html_extraction": html_extraction.op10_html_extraction,
 }
-ORACLES = {"op1_decontamination": decontamination.ORACLE, "op9_quality_rules": quality_rules.ORACLE}
+ORACLES = {"op1_decontamination": decontamination.ORACLE, "op8_jaccard_join": jaccard_join.ORACLE, "op9_quality_rules": quality_rules.ORACLE}
