@@ -89,3 +89,12 @@ def test_evaluation(spark):
         V.wilcoxon([1], [])
     assert V.f_at_11(lk, g).count() == 11 and set(V.compare(lk, lk, g)) == {"p", "delta"} and V.compare(lk, lk, gold(spark, ("q", "q"))) is None
     assert V.is_link(g, gold(spark, ("s1", "t1"), ("s1", "t2"))).count() == 1 and V.relevant_targets(g).first()["targets"] == ["t1", "t3"]
+
+
+def test_appended_and_counted(spark):
+    docs = spark.createDataFrame([("a", "x"), ("b", None)], "artifact_id string, raw_text string")
+    pairs = spark.createDataFrame([("a", "p", "q", "pQ", 2), ("a", "m", "n", "mN", 1)], "artifact_id string, term1 string, term2 string, canonical string, weight int")
+    assert {r["artifact_id"]: r["raw_text"] for r in E.append_pairs(docs, pairs).collect()} == {"a": "x m n p q p q ", "b": None}
+    found = spark.createDataFrame([("p", "q", "pQ", "s", "t")] * 2, "term1 string, term2 string, canonical string, source string, destination string")
+    assert E.consensual_counts(found).first()["n"] == 2
+    assert E.allowed_pairs(pairs, spark.createDataFrame([("pQ",)], "canonical string")).count() == 1

@@ -40,3 +40,11 @@ def test_pairs_and_tags(spark):
     assert one(spark, "/** Does it.\n * And more.\n */", X.clean_javadoc) == "Does it. And more."
     assert one(spark, "// no", X.clean_javadoc) == ""
     assert one(spark, 0.5, X.score_text, "double") == "0.5000"
+
+
+def test_lemmas_and_relations(spark):
+    from tracelark.functions.phrases import relations
+
+    assert one(spark, "mice ran off", lambda c: X.lemmatise(c, {"mice": "mouse", "ran": "run"})) == "mouse run off"
+    e = spark.createDataFrame([("a", 0, "x", "NN", "y", "NN", "obj"), ("a", 1, "x", "NN", "y", "NN", "amod")], "artifact_id string, sentence int, gov string, gov_pos string, dep string, dep_pos string, rel string")
+    assert [tuple(r) for r in relations(e).collect()] == [("a", "'x' -> 'y'", "amod")]

@@ -130,3 +130,12 @@ def score_text(c: Column, digits: int = 4) -> Column:
 
 def link_key(source: Column, target: Column) -> Column:
     return F.concat_ws(" -> ", source, target)
+
+
+def lemmatise(c: Column, lemmas: dict[str, str]) -> Column:
+    """Each word replaced by its lemma in a dictionary (others stay), joined by spaces."""
+    words = ir_tokens(c)
+    if not lemmas:
+        return F.array_join(words, " ")
+    table = F.create_map(*[F.lit(x) for pair in lemmas.items() for x in pair])
+    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w)), " ")
