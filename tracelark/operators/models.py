@@ -10,7 +10,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .postings import postings, union_weights
 
@@ -37,13 +37,12 @@ def filled(links: DataFrame, src: DataFrame, tgt: DataFrame, empty: float = 0.0)
 
 def cosine(weights: DataFrame) -> DataFrame:
     """Positive cosines of weighted postings (role s against role t); a term of weight 0 joins nothing."""
-    w = weights.where("weight <> 0")
-    a = w.where("role = 's'").select(F.col("doc_id").alias("source_id"), "term", F.col("weight").alias("a"))
-    b = w.where("role = 't'").select(F.col("doc_id").alias("target_id"), "term", F.col("weight").alias("b"))
-    dots = a.join(b, "term").groupBy("source_id", "target_id").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
-    na = a.groupBy("source_id").agg(F.sqrt(F.sum(F.col("a") * F.col("a"))).alias("na"))
-    nb = b.groupBy("target_id").agg(F.sqrt(F.sum(F.col("b") * F.col("b"))).alias("nb"))
-    return dots.join(na, "source_id").join(nb, "target_id").select("source_id", "target_id", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("score"))
+    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy("role", "doc_id")))
+    w = weights.withColumn("norm", norm).where("weight <> 0")
+    a = w.where("role = 's'").select(F.col("doc_id").alias("source_id"), "term", F.col("weight").alias("a"), F.col("norm").alias("na"))
+    b = w.where("role = 't'").select(F.col("doc_id").alias("target_id"), "term", F.col("weight").alias("b"), F.col("norm").alias("nb"))
+    dots = a.join(b, "term").groupBy("source_id", "target_id").agg(F.sum(F.col("a") * F.col("b")).alias("dot"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return dots.select("source_id", "target_id", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("score"))
 
 
 def vsm(src: DataFrame, tgt: DataFrame, dense: bool = True) -> DataFrame:

@@ -24,11 +24,18 @@ def corpus(spark: SparkSession, sf: str, role: str, stemmed: bool = False, token
     else:
         c = spark.read.parquet(f"{sf}/conversations.parquet").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
         docs = c.select(F.concat(F.lit("c"), F.col("conv_id")).alias("artifact_id"), F.array_join(F.transform("x", lambda y: y["text"]), "\n").alias("raw_text"))
-    docs = docs.withColumn("tokens", X.process_tokens(F.col("raw_text"), stemmed=stemmed))
+    docs = spread(docs).withColumn("tokens", X.process_tokens(F.col("raw_text"), stemmed=stemmed))
     docs = docs.withColumn("ir_text", F.array_join("tokens", " "))
     return docs if tokens else docs.drop("tokens")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its input has fewer splits than that (small tables of one row group); else as it is, without a shuffle."""
+    sc = df.sparkSession.sparkContext
+    few = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 16_000_000 * sc.defaultParallelism
+    return df.repartition(sc.defaultParallelism) if few else df
+
+
 def rounded(links: DataFrame) -> DataFrame:
     return links.withColumn("score", F.round("score", DIGITS))
 
