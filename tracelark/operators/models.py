@@ -46,16 +46,14 @@ def cosine(weights: DataFrame) -> DataFrame:
 
 
 def vsm(src: DataFrame, tgt: DataFrame, dense: bool = True) -> DataFrame:
-    links = cosine(union_weights(postings(src), postings(tgt), _ids(src), _ids(tgt)))
+    links = cosine(union_weights(postings(src, total=True), postings(tgt, total=True), _ids(src), _ids(tgt)))
     return filled(links, src, tgt) if dense else links
 
 
 def jsd(src: DataFrame, tgt: DataFrame, dense: bool = True) -> DataFrame:
     """1 - Jensen-Shannon divergence (base 2). Only common terms need the join: with h(x) = -x log2 x, the others add their mass."""
     def side(docs, name, p):
-        post = postings(docs)
-        total = post.groupBy("doc_id").agg(F.sum("n").alias("total"))
-        return post.join(total, "doc_id").select(F.col("doc_id").alias(name), "term", (F.col("n") / F.col("total")).alias(p))
+        return postings(docs, total=True).select(F.col("doc_id").alias(name), "term", (F.col("n") / F.col("total")).alias(p))
 
     h = lambda x: -x * F.log2(x)
     p, q = F.col("p"), F.col("q")
@@ -73,7 +71,7 @@ def jsd(src: DataFrame, tgt: DataFrame, dense: bool = True) -> DataFrame:
 def lsi(src: DataFrame, tgt: DataFrame, dense: bool = True, k: int | None = None, local_docs: int = LOCAL_DOCS) -> DataFrame:
     """Cosines of TF-IDF whose cells are replaced by their rank-k reconstruction where that is positive; k = min(|S|, |T|, 100) at most."""
     spark = src.sparkSession
-    w = union_weights(postings(src), postings(tgt), _ids(src), _ids(tgt)).select("role", "doc_id", "term", "weight")
+    w = union_weights(postings(src, total=True), postings(tgt, total=True), _ids(src), _ids(tgt)).select("role", "doc_id", "term", "weight")
     w = w.cache()
     sizes = src.agg(F.count("*").alias("s")).crossJoin(tgt.agg(F.count("*").alias("t"))).crossJoin(w.agg(F.count("*").alias("v"))).first()
     k = min(x for x in (sizes["s"], sizes["t"], 100, k) if x is not None)
