@@ -165,6 +165,14 @@ def test_quality_classifier(spark, docs, empty):
     assert O.rate(d, none).where("kept").count() == 300
 
 
+def test_quality_sample_takes_one_text_for_each_id(spark):
+    rows = [(i, f"{'good plain words' if i % 2 else '|| ## buy'} {prose(20)}") for i in range(40)]
+    ratings = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, grade int")
+    once = O.train(spark.createDataFrame(rows, "doc_id long, text string"), ratings, grades=2)
+    often = O.train(spark.createDataFrame(rows + [(7, None)] * 50 + [rows[7]] * 300, "doc_id long, text string").repartition(4), ratings, grades=2)
+    assert (once.link.w == often.link.w).all() and (once.link.cuts == often.link.cuts).all()
+
+
 def test_language_model(spark, docs, empty):
     r = random.Random(2)
     rows = [(i, " ".join(w for _ in range(20) for w in r.choice(["red apple pie", "blue sky now", "green tea cup"]).split())) for i in range(200)]

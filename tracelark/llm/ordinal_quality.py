@@ -6,7 +6,7 @@ lower case, and runs of other signs) and binned shape marks (share of distinct w
 word lengths, share of words after which nothing ends a sentence), hashed into DIM cells, log counts, scaled to length one.
 
 Training takes a bounded sample: the rated rows with the least hash of their id, SAMPLE_ROWS of them at most; of each only
-its hashed cells (DIM at most) come to the driver.
+its hashed cells (DIM at most) come to the driver. Of an id that several rows have, the greatest text is taken.
 
 Defined results: a null or blank text has the mark `empty` alone. With fewer than two grades among the ratings every text gets
 the grade that there is (0 with none) and is kept. Ratings of an id that differ are left out. Repeated rows are rated alike.
@@ -142,7 +142,8 @@ def graded(labels: DataFrame) -> DataFrame:
 def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, rows: int = SAMPLE_ROWS, text: str = "text", key: str = "doc_id") -> QualityModel:
     """ratings: doc_id and grade (0 .. grades - 1)."""
     ids = ratings.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.max("grade").alias("z")).where("grade = z").select(F.col("doc_id").alias("_id"), "grade").orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    src = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(ids), F.col("_k") == F.col("_id")).select("_id", "grade", "_t")
+    src = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(ids), F.col("_k") == F.col("_id"))
+    src = src.groupBy("_id").agg(F.max("grade").alias("grade"), F.max("_t").alias("_t"))  # one text for each id, however often it occurs
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Hasher()
