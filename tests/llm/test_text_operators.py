@@ -350,3 +350,10 @@ def test_html_frame(spark):
     got = sorted(map(tuple, H.extract_text(pages).collect()), key=str)
     assert got == [(1, "u", "x", 1), (1, "u", "x", 1), (2, None, "", 0)]
     assert H.extract_text(pages.limit(0)).count() == 0
+
+
+def test_html_threshold_within_the_container():
+    text = "A sentence, with some words; and a second one. " * 6
+    page = f'<article><div class=top><h1>Head</h1></div><p>{text}</p><div class=x7><h3>Offer</h3>Buy it here</div><p>{text}</p><h2>Part</h2><ul><li>one<li>two</ul><p>Short.</p><table><tr><td>1<td>2</table></article>'
+    for whole in (page, f"<div>{page[9:-10]}</div>"):
+        assert H.extract(whole) == "\n".join(["Head", text.strip(), text.strip(), "Part", "one", "two", "Short.", "1", "2"])

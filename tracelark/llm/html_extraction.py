@@ -3,8 +3,10 @@
 A page is cut into blocks, each with its root-to-leaf path of block tags (inline tags, such as b or a, are
 no part of it). For each path the text length and the punctuation are summed and divided by the number of its
 nodes; both ratios are smoothed along the page (a path takes from its neighbours), and fused into
-one value. The container with the largest fused value is the main one; its paths are selected, and
-others whose value passes the threshold, but for those that are marked as navigation, header, footer, sidebar,
+one value. The container with the largest fused value is the main one. Within it a path is selected if its value
+is SHARE of the mean there (each character counts once) or more; short lines, lists and tables that stand beside such a
+path in the same area go with it, and so do headings, but for those of areas with nothing selected. Outside, paths far
+above the page's mean are selected. Left out are those that are marked as navigation, header, footer, sidebar,
 notice, advert, form or comments, or that consist of links.
 
 Defined results: a null or empty html, or one without main text, gives an empty string. Unclosed and crossed
@@ -30,6 +32,11 @@ NO_TEXT = frozenset("script style noscript template svg math iframe object canva
 RAW = ("script", "style", "textarea", "title", "iframe", "noscript", "template", "svg", "select", "object")
 APART = frozenset("nav footer aside form menu dialog head".split())
 CONTAINER = frozenset("article main".split())
+#: Tags that lay out text within an area of the page, and are no area of their own.
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 hgroup header ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption center".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A path within the main container needs this share of the container's mean value.
+SHARE = 0.5
 #: Words of class, id and role names that mark what is not the article.
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promoted|promotion|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|aside|rail|widget|footer|masthead|topbar|toolbar|"
@@ -159,6 +166,36 @@ def ratios(found: list) -> dict[tuple[str, ...], float]:
     return {p: math.sqrt(max(0.0, a * b)) for p, (a, b) in zip(order, smooth)}
 
 
+def _tag(label: str) -> str:
+    return label.split(".")[0]
+
+
+def _area(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The path without the tags at its end that only lay out text."""
+    k = len(path)
+    while k and _tag(path[k - 1]) in FLOW:
+        k -= 1
+    return path[:k]
+
+
+def _selected(inside: list, value: dict) -> set[tuple[str, ...]]:
+    """The paths of the main container's blocks that are content."""
+    size: dict[tuple[str, ...], int] = defaultdict(int)
+    for path, text, _, _ in inside:
+        size[path] += len(text)
+    floor = SHARE * sum(n * value[p] for p, n in size.items()) / max(1, sum(size.values()))
+    areas = {_area(p) for p in size if value[p] >= floor}
+    heading = lambda p: bool(p) and _tag(p[-1]) in HEADING
+    got = {p for p in size if value[p] >= floor or not heading(p) and _area(p) in areas}
+    holds, keeps = set(), set()  # areas, with those around them, that have text besides headings, and selected text
+    for p in size:
+        if not heading(p):
+            around = {p[:k] for k in range(len(p) + 1)}
+            holds |= around
+            keeps |= around if p in got else set()
+    return got | {p for p in size if heading(p) and (_tag(p[-1]) == "h1" or _area(p) in keeps or _area(p) not in holds)}
+
+
 def extract(page: str | None) -> str:
     found = blocks(page or "")
     able = [b for b in found if not b[3]]
@@ -187,14 +224,14 @@ def extract(page: str | None) -> str:
     values = np.array([value[b[0]] for b in able])
     limit = values.mean() + values.std()
     article = bool(named) and main and tag(main) in CONTAINER
+    able = [b for b in able if not (size[b[0]] and links[b[0]] > 0.6 * size[b[0]])]
+    chosen = _selected([b for b in able if b[0][:len(main)] == main], value)
     out = []
     for path, text, link, _ in able:
-        if size[path] and links[path] > 0.6 * size[path]:
-            continue
         inside = path[:len(main)] == main
         if inside and article and "header" in {x.split(".")[0] for x in path[len(main):]} and not re.match(r"h[1-6]\b", path[-1]):
             continue
-        if inside or (not article and value[path] > limit):
+        if path in chosen if inside else not article and value[path] > limit:
             out.append(text)
     return "\n".join(out)
 
