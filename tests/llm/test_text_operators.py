@@ -357,3 +357,12 @@ def test_html_threshold_within_the_container():
     page = f'<article><div class=top><h1>Head</h1></div><p>{text}</p><div class=x7><h3>Offer</h3>Buy it here</div><p>{text}</p><h2>Part</h2><ul><li>one<li>two</ul><p>Short.</p><table><tr><td>1<td>2</table></article>'
     for whole in (page, f"<div>{page[9:-10]}</div>"):
         assert H.extract(whole) == "\n".join(["Head", text.strip(), text.strip(), "Part", "one", "two", "Short.", "1", "2"])
+
+
+def test_html_keeps_all_articles():
+    text = "A sentence, with some words; and a second one. " * 6
+    first, second = f"<article class=part-1><p>{text}one</p></article>", f"<article class=part-2><p>{text}two</p></article>"
+    want = ["T", text + "one", text + "two"]
+    assert H.extract(f"<body><main><h1>T</h1>{first}{second}</main><div>Imprint</div></body>").split("\n") == want
+    assert H.extract(f"<body><h1>T</h1>{first}{second}<div class=x7>Imprint</div></body>").split("\n") == want
+    assert H.extract(f"<body><article><p>{text}one</p></article><div class=rest><p>{text}two</p><p>{text}two</p></div></body>").split("\n") == [text + "one"] + [text + "two"] * 2

@@ -3,7 +3,8 @@
 A page is cut into blocks, each with its root-to-leaf path of block tags (inline tags, such as b or a, are
 no part of it). For each path the text length and the punctuation are summed and divided by the number of its
 nodes; both ratios are smoothed along the page (a path takes from its neighbours), and fused into
-one value. The container with the largest fused value is the main one. Within it a path is selected if its value
+one value. The main container is <main>, or what all <article> with content lie in, widened until it holds HOLDS of the
+fused value; without these tags, the deepest one that holds as much. Within it a path is selected if its value
 is SHARE of the mean there (each character counts once) or more; short lines, lists and tables that stand beside such a
 path in the same area go with it, and so do headings, but for those of areas with nothing selected. Outside, paths far
 above the page's mean are selected. Left out are those that are marked as navigation, header, footer, sidebar,
@@ -37,6 +38,8 @@ FLOW = frozenset("p h1 h2 h3 h4 h5 h6 hgroup header ul ol li dl dt dd table capt
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A path within the main container needs this share of the container's mean value.
 SHARE = 0.5
+#: The main container holds this share of the page's fused value (lengths by their log).
+HOLDS = 0.6
 #: Words of class, id and role names that mark what is not the article.
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promoted|promotion|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|aside|rail|widget|footer|masthead|topbar|toolbar|"
@@ -209,21 +212,25 @@ def extract(page: str | None) -> str:
         links[path] += min(link, len(text))
         for k in range(1, len(path) + 1):
             mass[path[:k]] += value[path] * math.log1p(len(text))
-    tag = lambda p: p[-1].split(".")[0]
-    named = [p for p in mass if p and tag(p) in CONTAINER]
-    total = mass.get(able[0][0][:1], 0) or sum(value[b[0]] * math.log1p(len(b[1])) for b in able)
+    total = sum(value[b[0]] * math.log1p(len(b[1])) for b in able)
+    named = [p for p in mass if p and _tag(p[-1]) in CONTAINER and mass[p] > 0]
     main: tuple[str, ...] = ()
     if named:
-        inner = [p for p in named if tag(p) == "article"] or named
-        main = max(inner, key=lambda p: (mass[p], -len(p)))
-        if mass[main] < 0.3 * max(mass.values()):
-            main = ()
-    if not main:  # the deepest container that holds most
-        deep = [p for p in mass if tag(p) not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "tr", "blockquote", "pre") and mass[p] >= 0.6 * total]
+        mains = [p for p in named if _tag(p[-1]) == "main"]
+        main = max(mains or named, key=lambda p: (mass[p], -len(p)))
+        if not mains:  # every article that carries content
+            floor = SHARE * max(value[b[0]] for b in able if b[0][:len(main)] == main)
+            for p in {b[0] for b in able if value[b[0]] >= floor}:
+                if any(_tag(x) in CONTAINER for x in p) and p[:len(main)] != main:
+                    main = main[:next((k for k, (x, y) in enumerate(zip(main, p)) if x != y), min(len(main), len(p)))]
+        while main and mass[main] < HOLDS * total:
+            main = main[:-1]
+    else:  # the deepest container that holds most
+        deep = [p for p in mass if _tag(p[-1]) not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "tr", "blockquote", "pre") and mass[p] >= HOLDS * total]
         main = max(deep, key=lambda p: (len(p), mass[p]), default=())
     values = np.array([value[b[0]] for b in able])
     limit = values.mean() + values.std()
-    article = bool(named) and main and tag(main) in CONTAINER
+    article = bool(main) and _tag(main[-1]) in CONTAINER
     able = [b for b in able if not (size[b[0]] and links[b[0]] > 0.6 * size[b[0]])]
     chosen = _selected([b for b in able if b[0][:len(main)] == main], value)
     out = []
@@ -231,7 +238,7 @@ def extract(page: str | None) -> str:
         inside = path[:len(main)] == main
         if inside and article and "header" in {x.split(".")[0] for x in path[len(main):]} and not re.match(r"h[1-6]\b", path[-1]):
             continue
-        if path in chosen if inside else not article and value[path] > limit:
+        if path in chosen if inside else value[path] > limit:
             out.append(text)
     return "\n".join(out)
 
