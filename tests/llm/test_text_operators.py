@@ -366,3 +366,13 @@ def test_html_keeps_all_articles():
     assert H.extract(f"<body><main><h1>T</h1>{first}{second}</main><div>Imprint</div></body>").split("\n") == want
     assert H.extract(f"<body><h1>T</h1>{first}{second}<div class=x7>Imprint</div></body>").split("\n") == want
     assert H.extract(f"<body><article><p>{text}one</p></article><div class=rest><p>{text}two</p><p>{text}two</p></div></body>").split("\n") == [text + "one"] + [text + "two"] * 2
+
+
+def test_quality_capitals_of_the_whole_text():
+    def upper(text):
+        return next(m for m in O.shape(text, O.Counter(O._TOKEN.findall(text.lower()))) if m.startswith("\0upper="))
+
+    for text in ("Abcdefghi " * 12_000, " Abcdefghi" * 12_000, "Éa bc defg" * 5_000):
+        assert upper(text) == "\0upper=3"
+    for size in (399, 400, 799, 5_000):
+        assert upper(("Abcde fghij klmno pqrst " * 250)[:size]) == "\0upper=1"

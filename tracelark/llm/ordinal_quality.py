@@ -69,7 +69,7 @@ def shape(text: str, count: Counter) -> list[str]:
     marks = {
         "distinct": 10 * len(words) / n_words, "top": 10 * top / n, "signs": 20 * (1 - n_words / n), "sign_kinds": min(9, sum(1 for w in count if not w[0].isalnum())),
         "word_length": sum(len(w) * c for w, c in words) / n_words, "stops": 30 * sum(text.count(x) for x in ".!?") / n_words, "pipes": 20 * text.count("|") / n_words,
-        "lines": 20 * text.count("\n") / n_words, "upper": 30 * sum(map(str.isupper, text[:size:max(1, size // 400)])) / min(size, 400), "size": math.log2(n_words + 1),
+        "lines": 20 * text.count("\n") / n_words, "upper": 30 * sum(map(str.isupper, text)) / size, "size": math.log2(n_words + 1),
     }
     return [f"\0{k}={int(v)}" for k, v in marks.items()]
 
