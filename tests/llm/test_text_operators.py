@@ -376,3 +376,13 @@ def test_quality_capitals_of_the_whole_text():
         assert upper(text) == "\0upper=3"
     for size in (399, 400, 799, 5_000):
         assert upper(("Abcde fghij klmno pqrst " * 250)[:size]) == "\0upper=1"
+
+
+
+def test_url_words_come_from_documents_and_urls(spark):
+    docs = spark.createDataFrame([("Essex county essex",), (None,), ("élan sussex",)], "text string")
+    assert {tuple(r) for r in U.document_words(docs).collect()} == {("essex", 2), ("county", 1), ("sussex", 1)}
+    urls = ["http://essexchat.org/", "http://middlesex.org/", "http://livesexchat.org/", "http://freecasinowin.org/"]
+    pages = spark.createDataFrame([(u,) for u in urls for _ in range(2)], "url string")
+    got = {r["url"]: r["verdict"] for r in U.filter_urls(pages, words=U.document_words(docs)).collect()}
+    assert [got[u] for u in urls] == ["allow", "allow", "block", "block"]

@@ -1,8 +1,11 @@
 """URL filter: rules first, then host word segmentation with naive Bayes.
 
 Labels of a host are split into words by a unigram Viterbi search (`cheappills` -> cheap pills); the words
-of host and path are scored by a multinomial naive Bayes model. Both models are trained here on the
-seed names below, so they are small constants; the words of the rules' own pages teach them nothing.
+of host and path are scored by a multinomial naive Bayes model. The unigrams come from all documents and all urls and
+from the seed names below, each half of the probability: a name of a url counts as a word where the documents' and the
+seeds' words don't cover it whole. They are counted, and joined to the names, by Spark; nothing of them comes to the
+driver. Words of more than LONGEST letters are known as whole names only. Naive Bayes learns from the seed names: the
+rules judge hosts and languages, not words, so the urls that they label are no examples for it.
 
 Defined results: a null url, or one without `://`, has an empty host and path, fits no rule and is allowed.
 A word that no seed has is no evidence, so a url of unknown words is allowed. Repeated rows are judged alike.
@@ -18,6 +21,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ._store import durable
+
 #: Fixed values: (rule, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
@@ -37,6 +42,10 @@ def _seeds(text: str) -> list[list[str]]:
     return [x.split() for x in text.replace("\n", "").split("|")]
 
 
+#: Letters of the longest word that is looked for within a name.
+LONGEST = 24
+
+
 class UrlModel:
     """Unigrams for the segmentation, and log odds of each word for naive Bayes (add-alpha smoothing)."""
 
@@ -52,14 +61,17 @@ class UrlModel:
         nb, ng = sum(bad.values()) + alpha * len(words), sum(good.values()) + alpha * len(words)
         self.odds = {w: math.log((bad[w] + alpha) / nb) - math.log((good[w] + alpha) / ng) for w in words}
         self.prior = math.log(prior / (1 - prior))
-        self.longest = max(map(len, words))
         self.memo: dict[str, list[str]] = {}
 
-    def segment(self, name: str) -> list[str]:
-        """The cheapest split of name into known words and runs of unknown letters."""
-        got = self.memo.get(name)
-        if got is not None:
-            return got
+    def segment(self, name: str, cost: dict[str, float] | None = None) -> list[str]:
+        """The cheapest split of name into known words (the seeds', or those of cost) and runs of unknown letters."""
+        if cost is None:
+            if name not in self.memo:
+                if len(self.memo) > 100_000:
+                    self.memo.clear()
+                self.memo[name] = self.segment(name, self.cost)
+            return self.memo[name]
+        longest = max(map(len, cost), default=0)
         n = len(name)
         inf = float("inf")
         # known[i]: name[:i] ends with a known word; loose[i]: it ends within an unknown run
@@ -68,8 +80,8 @@ class UrlModel:
         back_l: list = [None] * (n + 1)
         known[0] = 0.0
         for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
-                c = self.cost.get(name[j:i])
+            for j in range(max(0, i - longest), i):
+                c = cost.get(name[j:i])
                 if c is not None:
                     for before, kind in ((known[j], "k"), (loose[j], "l")):
                         if before + c < known[i]:
@@ -86,11 +98,13 @@ class UrlModel:
                 end = j
             i, kind = j, before
         out.reverse()
-        if len(self.memo) > 100_000:
-            self.memo.clear()
-        self.memo[name] = out
         return out
 
+    def costs(self, name: str, counts: dict[str, int], total: int) -> dict[str, float]:
+        """Costs of the counted words of a name, mixed half and half with the seeds'."""
+        seeds = {w: math.exp(-c) for w, c in self.cost.items() if w in name}
+        return {w: -math.log((counts.get(w, 0) / max(1, total) + seeds.get(w, 0.0)) / 2) for w in counts.keys() | seeds.keys()}
+
     def words(self, host: str, path: str) -> list[str]:
         names = [x for x in re.split(r"[^a-z]+", host) if x]
         names += [x for x in re.split(r"[^a-z]+", path.lower()) if x]
@@ -122,22 +136,63 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def filter_urls(pages: DataFrame, column: str = "url", rules=RULES, model: UrlModel | None = None) -> DataFrame:
-    """pages with host, path, rule, score (log odds of block) and verdict; columns of these names are replaced."""
-    model = model or UrlModel()
+def _counted(words: Column, frame: DataFrame) -> DataFrame:
+    return frame.select(F.explode(words).alias("word")).where("word != ''").groupBy("word").agg(F.count("*").alias("n"))
+
+
+def document_words(docs: DataFrame, text: str = "text") -> DataFrame:
+    """word (letters a to z alone, in lower case) and n over all documents."""
+    return _counted(F.split(F.lower(F.col(text)), r"[^\p{L}\p{M}]+"), docs).where(F.col("word").rlike("^[a-z]+$"))
+
 
-    def scores(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for hosts, paths in it:
-            yield pd.Series([model.score(h, p) for h, p in zip(hosts, paths)], dtype="float64")
+def _names(host: Column, path: Column) -> Column:
+    return F.split(F.concat(host, F.lit("/"), F.lower(path)), "[^a-z]+")
 
-    score = F.pandas_udf(scores, "double")
+
+def _split(names: DataFrame, words: DataFrame, model: UrlModel) -> DataFrame:
+    """names (word, n) with its parts, whether known words cover it whole, and the sum of the parts' log odds."""
+    total = words.agg(F.sum("n")).first()[0] or 0
+    ends = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("word") - i + 1)), lambda k: F.col("word").substr(i, k))
+    inner = F.flatten(F.transform(F.sequence(F.lit(1), F.length("word")), ends))
+    pieces = names.select("word", F.explode(F.array_distinct(F.array_append(inner, F.col("word")))).alias("piece"))
+    known = pieces.join(words.select(F.col("word").alias("piece"), F.col("n").alias("c")), "piece").groupBy("word")
+    known = known.agg(F.map_from_entries(F.collect_list(F.struct("piece", "c"))).alias("known"))
+
+    def parts(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for name, found in it:
+            got = []
+            for x, f in zip(name, found):
+                cost = model.costs(x, dict(f) if f is not None else {}, total)
+                out = model.segment(x, cost)
+                got.append((out, all(w in cost for w in out), math.fsum(model.odds.get(w, 0.0) for w in out)))
+            yield pd.DataFrame(got, columns=["parts", "whole", "odds"])
+
+    cut = F.pandas_udf(parts, "parts array<string>, whole boolean, odds double")
+    return names.join(known, "word", "left").withColumn("x", cut("word", "known")).select("word", "n", "x.parts", "x.whole", "x.odds")
+
+
+def filter_urls(pages: DataFrame, column: str = "url", rules=RULES, model: UrlModel | None = None, words: DataFrame | None = None) -> DataFrame:
+    """pages with host, path, rule, score (log odds of block) and verdict; columns of these names are replaced.
+
+    words: word and n, counted besides the names of the urls (see document_words).
+    """
+    model = model or UrlModel()
     host, path = host_and_path(F.col(column))
-    out = pages.withColumns({"_host": host, "_path": path})
-    out = out.withColumns({"_rule": rule_of(F.col("_host"), F.col("_path"), rules), "_score": score("_host", "_path")})
+    names = durable(_counted(_names(host, path), pages), "url_names")
+    words = pages.sparkSession.createDataFrame([], "word string, n long") if words is None else durable(words, "url_words")
+    first = _split(names, words, model).select(F.explode(F.when(F.col("whole"), F.col("parts")).otherwise(F.array("word"))).alias("word"), "n")
+    words = durable(words.unionByName(first).groupBy("word").agg(F.sum("n").alias("n")), "url_unigrams")
+    odds = durable(_split(names, words, model).where("odds != 0").select(F.col("word").alias("_word"), "odds"), "url_odds")
+    urls = pages.select(F.col(column).alias("_url")).distinct()
+    urls = urls.select("_url", F.explode(_names(*host_and_path(F.col("_url")))).alias("_word")).join(odds, "_word")
+    urls = urls.groupBy("_url").agg(F.round(F.sum("odds"), 9).alias("_odds"))
+    out = pages.withColumns({"_host": host, "_path": path}).join(urls, F.col(column) == F.col("_url"), "left")
+    out = out.withColumns({"_rule": rule_of(F.col("_host"), F.col("_path"), rules), "_score": F.lit(model.prior) + F.coalesce("_odds", F.lit(0.0))})
     new = {"host": F.col("_host"), "path": F.col("_path"), "rule": F.col("_rule.rule"), "score": F.col("_score"), "verdict": F.coalesce(F.col("_rule.verdict"), F.when(F.col("_score") > 0, "block").otherwise("allow"))}
-    return out.withColumns(new).drop("_host", "_path", "_rule", "_score")
+    return out.withColumns(new).drop("_host", "_path", "_rule", "_score", "_url", "_odds")
 
 
 def op3_url_filter(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return filter_urls(pages).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
+    words = document_words(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text"))
+    return filter_urls(pages, words=words).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
