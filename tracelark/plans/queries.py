@@ -62,9 +62,9 @@ def gold(spark, sf) -> DataFrame:
     return windows("s", "source_id").join(windows("t", "target_id"), "w").select("source_id", "target_id").distinct()
 
 
-def _votes(spark, sf):
+def _votes(spark, sf, role="s"):
     freq = E.pair_frequencies(E.adjacent_pairs(corpus(spark, sf, "m", tokens=True)))
-    v = E.votes(vsm_links(spark, sf, "s", "m", False), freq)
+    v = E.votes(vsm_links(spark, sf, role, "m", False), freq)
     return v.withColumn("vote", F.round("vote", DIGITS))
 
 
@@ -72,6 +72,12 @@ def _plain_text(docs):
     return docs.withColumn("ir_text", X.process_text(F.col("raw_text"), stemmed=False))
 
 
+def _enriched_both(spark, sf):
+    """Sources and targets enriched; _enriched is the half of it that has SQL."""
+    s, t = corpus(spark, sf, "s"), corpus(spark, sf, "t")
+    return E.enriched_links(s, t, _votes(spark, sf), _votes(spark, sf, "t"), lambda a, b: rounded(M.vsm(a, b, False)), _plain_text)
+
+
 def _enriched(spark, sf):
     s, t = corpus(spark, sf, "s"), corpus(spark, sf, "t")
     s_plus = _plain_text(E.extended_text(s, _votes(spark, sf)))
@@ -137,6 +143,7 @@ QUERIES = {
     "neighbour_votes": lambda s, d: _votes(s, d),
     "extended_text": lambda s, d: E.extended_text(corpus(s, d, "s"), _votes(s, d)).select("artifact_id", "raw_text"),
     "enriched_links": lambda s, d: _enriched(s, d),
+    "enriched_links_both": lambda s, d: _enriched_both(s, d),
     "paths_outer": lambda s, d: P.outer_paths(*_hops(s, d)[:2]),
     "paths_inner_src": lambda s, d: P.inner_source_paths(_hops(s, d)[2], *_hops(s, d)[:2]),
     "paths_inner_mid": lambda s, d: P.inner_intermediate_paths(_hops(s, d)[0], _hops(s, d)[3], _hops(s, d)[1]),
