@@ -1,17 +1,21 @@
 """Main text of web pages by tag-path ratios.
 
 A page is cut into blocks, each with its root-to-leaf path of block tags (inline tags, such as b or a, are
-no part of it). For each path the text length and the punctuation are summed and divided by the number of its
-nodes; both ratios are smoothed along the page (a path takes from its neighbours), and fused into
-one value. The main container is <main>, or what all <article> with content lie in, widened until it holds HOLDS of the
-fused value; without these tags, the deepest one that holds as much. Within it a path is selected if its value
-is SHARE of the mean there (each character counts once) or more; short lines, lists and tables that stand beside such a
-path in the same area go with it, and so do headings, but for those of areas with nothing selected. Outside, paths far
-above the page's mean are selected. Left out are those that are marked as navigation, header, footer, sidebar,
-notice, advert, form or comments, or that consist of links.
+no part of it). For each path the text length (without links) and the punctuation are summed and divided by the number of its
+nodes; the logs of both ratios are smoothed along the page (a path takes from its neighbours) and fused into one value. Where a
+page has <article> or <main> with content, paths outside count OUTSIDE of their value: the tag is evidence, not a switch.
+
+A path is selected if its value is SHARE of the page's mean or more (the mean over the blocks, weighed by the log of their
+length). Short lines, lists and tables that stand beside a selected path in the same area of the page go with it, and so
+do headings, but for those of areas with nothing selected. Left out before all that are blocks that are marked as navigation,
+header, footer, sidebar, notice, advert, form or comments, controls, and paths that consist of links.
+
+Work and memory grow with the page's length only: a path is a number with a parent, the scanner never looks back, and what is
+not found once (the end of a quote or of an element) is not looked for again.
 
 Defined results: a null or empty html, or one without main text, gives an empty string. Unclosed and crossed
-tags are tolerated; nothing is cut off, however long. An empty table gives an empty one.
+tags are tolerated; a tag that the page's end cuts short holds no text. Repeated rows give the same; an empty table gives an empty one.
+Columns of the input named text and n_chars are replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -29,218 +33,254 @@ from pyspark.sql import DataFrame
 #: The tags of HTML by their part in the layout.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NO_TEXT = frozenset("script style noscript template svg math iframe object canvas audio video select button textarea datalist title map".split())
-RAW = ("script", "style", "textarea", "title", "iframe", "noscript", "template", "svg", "select", "object")
-APART = frozenset("nav footer aside form menu dialog head".split())
+#: Elements whose content is raw up to their end tag, and elements whose whole content is no text of the page.
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+MUTE = frozenset("noscript template svg math object canvas audio video select button datalist map label option optgroup output progress meter".split())
+APART = frozenset("nav footer aside form fieldset legend menu dialog head".split())
 CONTAINER = frozenset("article main".split())
 #: Tags that lay out text within an area of the page, and are no area of their own.
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 hgroup header ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption center".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: A path within the main container needs this share of the container's mean value.
-SHARE = 0.5
-#: The main container holds this share of the page's fused value (lengths by their log).
-HOLDS = 0.6
+#: A path needs this share of the page's mean value; outside of articles its value counts this much.
+SHARE, OUTSIDE = 0.5, 0.6
+#: What a path takes from the path before, itself and the path after.
+KERNEL = (0.1, 0.8, 0.1)
 #: Words of class, id and role names that mark what is not the article.
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promoted|promotion|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|aside|rail|widget|footer|masthead|topbar|toolbar|"
     r"header|cookie|cookies|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|form|share|sharing|social|follow|related|recommended|recommendations|more|trending|popular|tags|pagination|pager|"
     r"comment|comments|commentlist|disqus|respond|replies|reply|discussion|feedback|reactions|copyright|legal|disclaimer|skip|contentinfo|complementary|alertdialog|hidden|sr-only)(?:$|[\s_-])", re.I)
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|story|main|body|text)(?:$|[\s_-])", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s>/]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
-_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PUNCT = re.compile(r"[.,;:!?…。，！？、¿¡\"'()]")
+_NAME = re.compile(r"/?[a-zA-Z][^\s>/]*")
+_STOP = re.compile(r"[\"'>]")
 #: What a start tag closes if it is open below it.
-_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": (), "tbody": ("thead", "tr", "td", "th"), "option": ()}
+_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tr", "td", "th")}
 _LISTS = ("ul", "ol", "dl", "table", "menu", "body")
-
-
-class Block:
-    __slots__ = ("path", "parts", "link", "apart", "depth")
-
-    def __init__(self, path, apart):
-        self.path, self.apart, self.parts, self.link = path, apart, [], 0
-
-
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
-    """(path, text, characters within links, marked as no part of the article) of each block with text, in page order."""
-    out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # block tag, its label in a path, marked
-    state = {"path": (), "apart": False, "open": None}
-    link = 0
-
-    def turn():
-        state["path"] = tuple(x[1] for x in stack)
-        state["apart"] = any(x[2] for x in stack)
-        state["open"] = None
-
-    def add(s: str):
-        if not s or (s.isspace() and state["open"] is None):
+_FLOWING = ("p", "li", "td", "tr")
+
+
+class Paths:
+    """The page's root-to-leaf paths by number; 0 is the root."""
+
+    def __init__(self):
+        self.parent, self.tag, self.apart, self.within, self.area, self.header = [0], [""], [False], [False], [0], [False]
+        self.known: dict[tuple[int, str, bool], int] = {}
+
+    def below(self, path: int, tag: str, label: str, apart: bool) -> int:
+        key = (path, label, apart)
+        got = self.known.get(key)
+        if got is None:
+            got = self.known[key] = len(self.parent)
+            self.parent.append(path)
+            self.tag.append(tag)
+            self.apart.append(apart or self.apart[path])
+            self.within.append(tag in CONTAINER or self.within[path])
+            self.area.append(self.area[path] if tag in FLOW else got)
+            self.header.append(self.header[path] or tag == "header" and self.within[path])
+        return got
+
+
+def _tag_end(page: str, at: int, missing: dict[str, int]) -> int:
+    """Where the tag that goes on at `at` ends (its >), or -1. A quote opens a value only after =."""
+    while True:
+        m = _STOP.search(page, at)
+        if m is None:
+            return -1
+        i = m.start()
+        q = page[i]
+        if q == ">":
+            return i
+        at = i + 1
+        if page[max(0, i - 8):i].rstrip()[-1:] == "=" and i < missing.get(q, len(page)):
+            j = page.find(q, at)
+            if j < 0:
+                missing[q] = i
+            else:
+                at = j + 1
+
+
+def blocks(page: str) -> tuple[list[tuple[int, str, int]], Paths]:
+    """(path, text, characters within links) of each block with text, in page order, and the paths."""
+    paths = Paths()
+    out: list[list] = []  # path, parts, link
+    stack: list[tuple[str, int, bool]] = []  # tag, path, whether its content is no text
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack a tag is open
+    ends: dict[str, list[int]] = {}  # places of end tags, of elements that need one
+    missing: dict[str, int] = {}
+    path = link = muted = 0
+    current: list | None = None
+
+    def cut(k: int) -> None:
+        nonlocal muted
+        while len(stack) > k:
+            tag, _, mute = stack.pop()
+            places[tag].pop()
+            muted -= mute
+
+    def end_tag(tag: str, after: int) -> int:
+        """The first end tag after a place, or -1; the list is used up as the scan goes on."""
+        if tag not in ends:
+            ends[tag] = [m.start() for m in re.finditer(rf"</{tag}(?=[\s>/])", page, re.I)][::-1]
+        left = ends[tag]
+        while left and left[-1] < after:
+            left.pop()
+        return left[-1] if left else -1
+
+    def add(s: str) -> None:
+        nonlocal current
+        if muted or not s or current is None and s.isspace():
             return
-        if state["open"] is None:
-            state["open"] = Block(state["path"], state["apart"])
-            out.append(state["open"])
-        state["open"].parts.append(s)
+        if current is None:
+            current = [path, [], 0]
+            out.append(current)
+        current[1].append(s)
         if link:
-            state["open"].link += len(s.strip())
+            current[2] += len(s.strip())
 
     at, n = 0, len(page)
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        i = page.find("<", at)
+        if i < 0:
             add(page[at:])
             break
-        if m.start() > at:
-            add(page[at:m.start()])
-        at = m.end()
-        if m[2] is None:
+        if i > at:
+            add(page[at:i])
+        c = page[i + 1:i + 2]
+        if c in ("!", "?"):
+            if page.startswith("<!--", i):
+                j = page.find("-->", i + 4)
+                at = n if j < 0 else j + 3
+            else:
+                j = page.find(">", i)
+                at = n if j < 0 else j + 1
             continue
-        tag, closing = m[2].lower(), bool(m[1])
-        if tag in NO_TEXT:
-            if not closing and tag in _END and not m[3].endswith("/"):
-                e = _END[tag].search(page, at)
-                at = e.end() if e else (n if tag in ("script", "style") else at)
+        m = _NAME.match(page, i + 1)
+        if m is None:
+            add("<")
+            at = i + 1
+            continue
+        name = m[0].lower()
+        closing = name[0] == "/"
+        tag = name[1:] if closing else name
+        j = page.find(">", m.end()) if closing else _tag_end(page, m.end(), missing)
+        if j < 0:
+            break
+        attrs, at = page[m.end():j], j + 1
+        if tag in RAW:
+            if not closing and not attrs.endswith("/"):
+                e = end_tag(tag, at)
+                if e >= 0:
+                    at = page.find(">", e) + 1 or n
+                elif tag in ("script", "style"):
+                    at = n
             add(" ")
+        elif tag in MUTE:
+            add(" ")
+            if closing:
+                if places[tag]:
+                    cut(places[tag][-1])
+            elif not attrs.endswith("/") and end_tag(tag, at) >= 0:
+                places[tag].append(len(stack))
+                stack.append((tag, path, True))
+                muted += 1
         elif tag in BLOCK:
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in CONTAINER and tag in ("p", "li", "td", "tr"):
-                        break
+                if places[tag] and not (tag in _FLOWING and places[tag][-1] < max((places[x][-1] for x in CONTAINER if places[x]), default=-1)):
+                    cut(places[tag][-1])
             else:
                 if stack and stack[-1][0] == "p":
-                    stack.pop()
-                for c in _CLOSES.get(tag, ()):
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == c:
-                            del stack[k:]
-                            break
-                        if stack[k][0] in _LISTS:
-                            break
-                stack.append(_entry(tag, m[3], stack))
-                if tag == "body" and len(stack) > 1 and stack[-2][0] == "head":
-                    stack.pop(-2)
-            link = 0
-            turn()
+                    cut(len(stack) - 1)
+                if tag in _CLOSES:
+                    least = max((places[x][-1] for x in _LISTS if places[x]), default=-1)
+                    open_ = [places[x][-1] for x in _CLOSES[tag] if places[x] and places[x][-1] > least]
+                    if open_:
+                        cut(min(open_))
+                if tag == "body" and places["head"]:
+                    cut(places["head"][-1])
+                label, apart = _entry(tag, attrs, bool(places["article"] or places["main"]))
+                places[tag].append(len(stack))
+                stack.append((tag, paths.below(stack[-1][1] if stack else 0, tag, label, apart), False))
+            path, current, link = stack[-1][1] if stack else 0, None, 0
         elif tag == "a":
             link = max(0, link + (-1 if closing else 1))
         elif tag == "br":
             add(" ")
     got = []
-    for b in out:
-        text = " ".join(_html.unescape("".join(b.parts)).split())
+    for p, parts, links in out:
+        text = " ".join(_html.unescape("".join(parts)).split())
         if text:
-            got.append((b.path, text, b.link, b.apart))
-    return got
+            got.append((p, text, min(links, len(text))))
+    return got, paths
 
 
-def _entry(tag: str, attrs: str, stack: list) -> tuple[str, str, bool]:
+def _entry(tag: str, attrs: str, within: bool) -> tuple[str, bool]:
+    """The tag's label in a path, and whether it is marked as no part of the article."""
     names, label = "", tag
     if attrs and not attrs.isspace():
         a = {k.lower(): v or w or x or "" for k, v, w, x in _ATTR.findall(attrs)}
         names = " ".join(a.get(k, "") for k in ("class", "id", "role", "aria-label")).strip()
         if a.get("class"):
             label = f"{tag}.{'.'.join(a['class'].split())}"
-        hidden = "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I)
-        if hidden:
-            return tag, label, True
-    within = any(x[0] in CONTAINER for x in stack)
+        if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
+            return label, True
     apart = tag in APART or tag == "header" and not within
     if not apart and names and tag not in ("html", "body") and MARKED.search(names):
         rest = re.sub(r"header", "", names, flags=re.I) if _GOOD.search(names) else names  # post-header is no page header
         apart = bool(MARKED.search(rest)) and tag not in CONTAINER
-    return tag, label, apart
+    return label, apart
 
 
-def ratios(found: list) -> dict[tuple[str, ...], float]:
-    """The fused ratio of each path: smoothed text ratio times smoothed punctuation ratio, links taken off."""
+def ratios(found: list[tuple[int, str, int]]) -> dict[int, float]:
+    """The fused ratio of each path: logs of its text and punctuation ratios, smoothed along the page, links taken off."""
     order = list(dict.fromkeys(b[0] for b in found))
     size, punct, links, nodes = (defaultdict(float) for _ in range(4))
-    for path, text, link, _ in found:
+    for path, text, link in found:
         size[path] += len(text)
         punct[path] += len(_PUNCT.findall(text))
-        links[path] += min(link, len(text))
+        links[path] += link
         nodes[path] += 1
-    raw = np.array([[max(0.0, size[p] - links[p]) / nodes[p], (1 + punct[p]) / nodes[p] * (1 - links[p] / max(1.0, size[p]))] for p in order]).reshape(-1, 2)
-    kernel = np.array([0.1, 0.8, 0.1])
-    smooth = np.stack([np.convolve(np.pad(raw[:, k], 1, mode="edge"), kernel, "valid") for k in (0, 1)], 1) if len(order) > 1 else raw
+    raw = np.log1p(np.array([[(size[p] - links[p]) / nodes[p], punct[p] / nodes[p] * (1 - links[p] / size[p])] for p in order]).reshape(-1, 2))
+    smooth = np.stack([np.convolve(np.pad(raw[:, k], 1, mode="edge"), KERNEL, "valid") for k in (0, 1)], 1) if len(order) > 1 else raw
     return {p: math.sqrt(max(0.0, a * b)) for p, (a, b) in zip(order, smooth)}
 
 
-def _tag(label: str) -> str:
-    return label.split(".")[0]
-
-
-def _area(path: tuple[str, ...]) -> tuple[str, ...]:
-    """The path without the tags at its end that only lay out text."""
-    k = len(path)
-    while k and _tag(path[k - 1]) in FLOW:
-        k -= 1
-    return path[:k]
-
-
-def _selected(inside: list, value: dict) -> set[tuple[str, ...]]:
-    """The paths of the main container's blocks that are content."""
-    size: dict[tuple[str, ...], int] = defaultdict(int)
-    for path, text, _, _ in inside:
-        size[path] += len(text)
-    floor = SHARE * sum(n * value[p] for p, n in size.items()) / max(1, sum(size.values()))
-    areas = {_area(p) for p in size if value[p] >= floor}
-    heading = lambda p: bool(p) and _tag(p[-1]) in HEADING
-    got = {p for p in size if value[p] >= floor or not heading(p) and _area(p) in areas}
-    holds, keeps = set(), set()  # areas, with those around them, that have text besides headings, and selected text
-    for p in size:
-        if not heading(p):
-            around = {p[:k] for k in range(len(p) + 1)}
-            holds |= around
-            keeps |= around if p in got else set()
-    return got | {p for p in size if heading(p) and (_tag(p[-1]) == "h1" or _area(p) in keeps or _area(p) not in holds)}
+def selected(able: list[tuple[int, str, int]], value: dict[int, float], paths: Paths) -> set[int]:
+    """The paths that are content, by value; able are the blocks that no mark leaves out."""
+    if any(paths.within[p] and value[p] > 0 for p, _, _ in able):
+        value = {p: v if paths.within[p] else OUTSIDE * v for p, v in value.items()}
+    weight = [math.log1p(len(t)) for _, t, _ in able]
+    floor = SHARE * sum(w * value[b[0]] for w, b in zip(weight, able)) / sum(weight)
+    own = {b[0] for b in able}
+    chosen = {p for p in own if value[p] >= floor}
+    heading = lambda p: paths.tag[p] in HEADING
+    areas = {paths.area[p] for p in chosen if not heading(p)} or {paths.area[p] for p in chosen}
+    got = {p for p in own if not heading(p) and (p in chosen or paths.area[p] in areas)}
+    # areas, with those around them, that hold text besides headings, and those that hold content
+    holds, keeps = set(), set()
+    for into, some in ((holds, (p for p in own if not heading(p))), (keeps, got)):
+        for p in some:
+            while p not in into:
+                into.add(p)
+                p = paths.parent[p]
+    whole = {p for p in own if heading(p) and (paths.tag[p] == "h1" or paths.area[p] in keeps or paths.area[p] not in holds)}
+    return got | whole
 
 
 def extract(page: str | None) -> str:
-    found = blocks(page or "")
-    able = [b for b in found if not b[3]]
+    found, paths = blocks(page or "")
+    size, links = defaultdict(int), defaultdict(int)
+    for p, text, link in found:
+        size[p] += len(text)
+        links[p] += link
+    able = [b for b in found if not paths.apart[b[0]] and links[b[0]] <= 0.6 * size[b[0]]]
+    # the lines of an article's own header besides headings: author, date
+    able = [b for b in able if not (paths.header[b[0]] and paths.tag[b[0]] not in HEADING)]
     if not able:
         return ""
-    value = ratios(found)
-    mass: dict[tuple[str, ...], float] = defaultdict(float)
-    size, links = defaultdict(int), defaultdict(int)
-    for path, text, link, _ in able:
-        size[path] += len(text)
-        links[path] += min(link, len(text))
-        for k in range(1, len(path) + 1):
-            mass[path[:k]] += value[path] * math.log1p(len(text))
-    total = sum(value[b[0]] * math.log1p(len(b[1])) for b in able)
-    named = [p for p in mass if p and _tag(p[-1]) in CONTAINER and mass[p] > 0]
-    main: tuple[str, ...] = ()
-    if named:
-        mains = [p for p in named if _tag(p[-1]) == "main"]
-        main = max(mains or named, key=lambda p: (mass[p], -len(p)))
-        if not mains:  # every article that carries content
-            floor = SHARE * max(value[b[0]] for b in able if b[0][:len(main)] == main)
-            for p in {b[0] for b in able if value[b[0]] >= floor}:
-                if any(_tag(x) in CONTAINER for x in p) and p[:len(main)] != main:
-                    main = main[:next((k for k, (x, y) in enumerate(zip(main, p)) if x != y), min(len(main), len(p)))]
-        while main and mass[main] < HOLDS * total:
-            main = main[:-1]
-    else:  # the deepest container that holds most
-        deep = [p for p in mass if _tag(p[-1]) not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "tr", "blockquote", "pre") and mass[p] >= HOLDS * total]
-        main = max(deep, key=lambda p: (len(p), mass[p]), default=())
-    values = np.array([value[b[0]] for b in able])
-    limit = values.mean() + values.std()
-    article = bool(main) and _tag(main[-1]) in CONTAINER
-    able = [b for b in able if not (size[b[0]] and links[b[0]] > 0.6 * size[b[0]])]
-    chosen = _selected([b for b in able if b[0][:len(main)] == main], value)
-    out = []
-    for path, text, link, _ in able:
-        inside = path[:len(main)] == main
-        if inside and article and "header" in {x.split(".")[0] for x in path[len(main):]} and not re.match(r"h[1-6]\b", path[-1]):
-            continue
-        if path in chosen if inside else value[path] > limit:
-            out.append(text)
-    return "\n".join(out)
+    chosen = selected(able, ratios(found), paths)
+    return "\n".join(text for p, text, _ in able if p in chosen)
 
 
 def _map(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
