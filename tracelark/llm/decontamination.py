@@ -3,33 +3,37 @@
 The normalised items (A-Z lowered, words of a-z, 0-9 and everything beyond ASCII) make one automaton
 over word sequences. Training texts stream through it: at each word the automaton holds the longest
 suffix that occurs in some item. A window is 10 consecutive item words; a shorter item is one window.
-Words inside an occurrence of a window are hit; runs of hit words are the spans to remove.
+Words inside an occurrence of a window are hit; runs of hit words are the spans to remove. Where a span is taken out, the
+blanks beside it become one (none at the edge of a line); nothing else of the text changes.
 
 Most texts hold no run of words that could fill a window, so each batch is first put to a filter that
 misses nothing: runs of known words whose neighbours are neighbours in some item.
 
 Size: the items are collected in groups of at most GROUP_BYTES (their size is counted first), one automaton
-for each; the usual benchmark is one group. A further group is a further pass over the texts.
+for each, its transitions in flat sorted arrays; the usual benchmark is one group. A further group is a further pass over the texts.
 
 Defined results: null, blank or wordless texts have no words and no hits; null or wordless items have no windows;
 an item without an id hits but is not listed. Empty tables give no hits. Repeated items count once
-by their id. Columns of the input that clash with those added here are replaced.
+by their id; repeated rows are judged alike. find_contamination() replaces columns of the input that are named as those it adds;
+decontaminate() returns the input's columns, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ._rows import col, packed, unpacked
 from ._store import durable
 from ._words import ALNUM, LOWER, slices
 
 WINDOW = 10
-GROUP_BYTES = 4_000_000
+GROUP_BYTES = 2_000_000
 ADDED = ("n_words", "n_hit", "longest", "items", "spans", "clean_text")
 _SPLIT = bytes(LOWER[i] if ALNUM[i] else 32 for i in range(256))
 
@@ -44,8 +48,8 @@ class SuffixAutomaton:
 
     def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.window, self.ids, self.words = window, [], {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.len = [-1], [0]
+        self.next: list[dict[int, int]] = [{}]  # while it is built
+        self.link, self.len = array("i", [-1]), array("i", [0])
         coded = []
         for item, words in items:
             if words:
@@ -67,8 +71,18 @@ class SuffixAutomaton:
         self.least = min((min(window, len(c)) for c in coded), default=0)
         pairs = {(a, b) for c in coded for a, b in zip(c, c[1:])}
         self.pairs = np.array(sorted(a * len(self.words) + b for a, b in pairs), np.int64)
+        n = len(self.words)
+        flat = sorted((v * n + c, to) for v, out in enumerate(self.next) for c, to in out.items())
+        self.keys, self.to = array("q", (k for k, _ in flat)), array("i", (t for _, t in flat))
+        del self.next
         self._tables()
 
+    def step(self, v: int, c: int) -> int:
+        """The state after word c, or -1."""
+        k = v * len(self.words) + c
+        i = bisect_left(self.keys, k)
+        return self.to[i] if i < len(self.keys) and self.keys[i] == k else -1
+
     def _extend(self, p: int, c: int) -> int:
         if c in self.next[p]:
             q = self.next[p][c]
@@ -141,7 +155,7 @@ class SuffixAutomaton:
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int], int]:
         """Runs of hit words (first, one past the last), numbers of the items, longest match."""
-        code, nxt, link, length, window = self.words.get, self.next, self.link, self.len, self.window
+        code, step, link, length, window = self.words.get, self.step, self.link, self.len, self.window
         v = n = longest = 0
         runs: list[list[int]] = []
         items: set[int] = set()
@@ -151,11 +165,13 @@ class SuffixAutomaton:
             if c is None:
                 v = n = 0
                 continue
-            while v and c not in nxt[v]:
+            to = step(v, c)
+            while v and to < 0:
                 v = link[v]
                 n = length[v]
-            if c in nxt[v]:
-                v, n = nxt[v][c], n + 1
+                to = step(v, c)
+            if to >= 0:
+                v, n = to, n + 1
             if n > longest:
                 longest = n
             hit = 0
@@ -185,38 +201,67 @@ class SuffixAutomaton:
         return [tuple(r) for r in runs], items, longest
 
 
-def _pass(batches: Iterator[pa.RecordBatch], automaton, text: str, keep: list[str], schema: pa.Schema, clean: bool) -> Iterator[pa.RecordBatch]:
+def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs in order, those that meet as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def without(raw: bytes, spans: list[dict[str, int]]) -> bytes:
+    """raw without its spans; only the blanks beside them change."""
+    out = raw[:spans[0]["start"]]
+    for s, stop in zip(spans, [*(x["start"] for x in spans[1:]), len(raw)]):
+        part = raw[s["end"]:stop]
+        left, right = out.rstrip(b" \t"), part.lstrip(b" \t")
+        gap = (len(left) < len(out) or len(right) < len(part)) and left and right and left[-1] not in b"\n\r" and right[0] not in b"\n\r"
+        out = left + (b" " if gap else b"") + right
+    return out
+
+
+def _pass(batches: Iterator[pa.RecordBatch], automaton, last: bool, clean: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """row, text and, after a first pass, longest, items and runs (in words) -> the same, or in the last pass the results."""
     a: SuffixAutomaton = automaton.value
     for batch in batches:
-        col = batch.column(batch.schema.get_field_index(text))
-        size = batch.num_rows
+        texts, size = batch.column(1), batch.num_rows
         n_words, n_hit, longest = (np.zeros(size, np.int64) for _ in range(3))
         items: list = [[]] * size
+        runs: list = [[]] * size
+        if batch.num_columns > 2:
+            longest = batch.column(2).to_numpy().copy()
+            items, runs = batch.column(3).to_pylist(), [[(r["start"], r["end"]) for r in x] for x in batch.column(4).to_pylist()]
         spans: list = [[]] * size
         cleaned: dict[int, str] = {}
-        for w in slices(col, ALNUM):
+        for w in slices(texts, ALNUM):
             n_words[w.first:w.first + w.n] = np.diff(w.at)
             for i in a.suspects(w):
-                raw = w.text(i)
-                runs, found, most = a.scan(words_of(raw))
-                k, first, base = w.first + i, w.at[i], w.rel[i]
-                longest[k] = most
-                if runs:
-                    n_hit[k] = sum(y - x for x, y in runs)
-                    items[k] = sorted({a.ids[x] for x in found if a.ids[x] is not None})
-                    spans[k] = [{"start": int(w.start[first + x] - base), "end": int(w.end[first + y - 1] - base)} for x, y in runs]
-                    if clean:
-                        parts, at = [], 0
-                        for s in spans[k]:
-                            parts.append(raw[at:s["start"]])
-                            at = s["end"]
-                        cleaned[k] = re.sub(rb"[ \t]{2,}", b" ", b"".join([*parts, raw[at:]])).decode("utf-8", "replace")
-        cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-        cols += [pa.array(n_words), pa.array(n_hit), pa.array(longest), pa.array(items, pa.list_(pa.string())), pa.array(spans, schema.field("spans").type)]
+                k = w.first + i
+                got, found, most = a.scan(words_of(w.text(i)))
+                longest[k] = max(longest[k], most)
+                if got:
+                    runs[k] = merged([*runs[k], *got])
+                    items[k] = sorted({*items[k], *(a.ids[x] for x in found if a.ids[x] is not None)})
+            if last:
+                for i in range(w.n):
+                    k = w.first + i
+                    if runs[k]:
+                        first, base = w.at[i], w.rel[i]
+                        n_hit[k] = sum(y - x for x, y in runs[k])
+                        spans[k] = [{"start": int(w.start[first + x] - base), "end": int(w.end[first + y - 1] - base)} for x, y in runs[k]]
+                        if clean:
+                            cleaned[k] = without(w.text(i), spans[k]).decode("utf-8", "replace")
+        if last:
+            cols = [batch.column(0), n_words, n_hit, longest, items, spans]
+        else:
+            cols = [batch.column(0), texts, longest, items, [[{"start": x, "end": y} for x, y in r] for r in runs]]
         if clean:
-            old = col.to_pylist() if cleaned else None
-            cols.append(pa.array([cleaned.get(k, old[k]) for k in range(size)], pa.string()) if cleaned else col.cast(pa.string()))
-        yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(cols, schema)], schema=schema)
+            old = texts.to_pylist() if cleaned else None
+            cols.append([cleaned.get(k, old[k]) for k in range(size)] if cleaned else texts)
+        yield pa.RecordBatch.from_arrays([(c if c.type == f.type else c.cast(f.type)) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
 def item_groups(items: DataFrame, key: str, text: str, most: int = GROUP_BYTES) -> list[DataFrame]:
@@ -229,74 +274,51 @@ def item_groups(items: DataFrame, key: str, text: str, most: int = GROUP_BYTES)
     return [items.where(F.pmod(F.xxhash64("id", "text"), F.lit(groups)) == g) for g in range(groups)]
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, clean: bool = False, keep: list[str] | None = None, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """docs (or its columns `keep`) with n_words, n_hit, longest (in words), items (ids) and spans (byte offsets within the text).
-
-    clean: also clean_text, the text without its spans. With several item groups n_hit counts the words of the merged spans.
-    """
+def _found(src: DataFrame, items: DataFrame, item_key: str, item_text: str, window: int, clean: bool, group_bytes: int) -> DataFrame:
+    """src (row, text) -> row, the columns of ADDED."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    spark = docs.sparkSession
-    docs = docs.drop(*[c for c in ADDED if c != text and c in docs.columns])
-    keep = [c for c in (docs.columns if keep is None else keep)]
+    spark = src.sparkSession
+    span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+    field = {"row": src.schema["row"].dataType, "text": T.StringType(), "items": T.ArrayType(T.StringType()), "runs": span, "spans": span, "clean_text": T.StringType()}
     groups = item_groups(items, item_key, item_text, group_bytes)
-    out = None
     for k, group in enumerate(groups):
         found = SuffixAutomaton([(r["id"], words_of(r["text"])) for r in group.collect()], window)  # at most about group_bytes
         shared = spark.sparkContext.broadcast(found)
-        last = len(groups) == 1
-        kept = keep if last else docs.columns
-        src = docs if out is None else out
-        passed = kept if out is None else [*docs.columns, "_spans", "_items", "_longest"]
-        fields = [src.schema[c] for c in passed] + [T.StructField(c, T.LongType()) for c in ADDED[:3]] + [T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))]
-        if clean and last:
-            fields.append(T.StructField("clean_text", T.StringType()))
-        schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
+        last = k == len(groups) - 1
+        names = ["row", "n_words", "n_hit", "longest", "items", "spans"] + ["clean_text"] * clean if last else ["row", "text", "longest", "items", "runs"]
+        schema = T.StructType([T.StructField(n, field.get(n, T.LongType())) for n in names])
         arrow = to_arrow_schema(schema)
-        src = src.select(*dict.fromkeys([*passed, text]))
-        got = src.mapInArrow(lambda it, p=passed, s=arrow, b=shared, c=clean and last: _pass(it, b, text, p, s, c), schema)
-        if last:
-            return got
-        if out is None:
-            got = got.withColumnsRenamed({"spans": "_spans", "items": "_items", "longest": "_longest"}).drop("n_words", "n_hit")
-        else:
-            got = got.withColumns({"_spans": F.concat("_spans", "spans"), "_items": F.array_union("_items", "items"), "_longest": F.greatest("_longest", "longest")}).drop("n_words", "n_hit", "longest", "items", "spans")
-        out = durable(got, "spans")
-    return _merged(out, keep, text, clean)
-
-
-def _merged(df: DataFrame, keep: list[str], text: str, clean: bool) -> DataFrame:
-    """Spans of several passes as one list, with the words counted anew."""
-    span = "struct<start:int,end:int>"
-    parts = F.aggregate(F.array_sort("_spans"), F.expr(f"cast(array() as array<{span}>)"), lambda acc, s: F.when(
-        (F.size(acc) > 0) & (s["start"] <= F.get(acc, F.size(acc) - 1)["end"]),
-        F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.get(acc, F.size(acc) - 1)["start"].alias("start"), F.greatest(F.get(acc, F.size(acc) - 1)["end"], s["end"]).alias("end")))),
-    ).otherwise(F.concat(acc, F.array(s))))
-    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    count = lambda t: F.size(F.regexp_extract_all(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(pattern), F.lit(0))).cast("long")
-    piece = lambda s: F.substr(raw, s["start"] + 1, s["end"] - s["start"]).cast("string")
-    df = df.withColumn("spans", parts)
-    df = df.withColumns({"n_words": count(F.coalesce(F.col(text), F.lit(""))), "n_hit": F.aggregate("spans", F.lit(0).cast("long"), lambda x, s: x + count(piece(s))), "longest": F.col("_longest"), "items": F.array_sort("_items")})
-    cols = [*keep, "n_words", "n_hit", "longest", "items", "spans"]
-    if clean:
-        starts = F.concat(F.array(F.lit(0)), F.col("spans.end"))
-        ends = F.concat(F.col("spans.start"), F.array(F.coalesce(F.octet_length(text), F.lit(0))))
-        left = F.array_join(F.zip_with(starts, ends, lambda a, b: F.substr(raw, a + 1, b - a).cast("string")), "")
-        df = df.withColumn("clean_text", F.when(F.size("spans") == 0, F.col(text)).otherwise(F.regexp_replace(left, "[ \t]{2,}", " ")))
-        cols.append("clean_text")
-    return df.select(*cols)
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, *, max_coverage: float = 0.5, text: str = "text", **more) -> DataFrame:
-    """docs without the spans; documents of which more than max_coverage of the words are hit go. n_chars, where there is one, follows the text."""
-    cols = docs.columns
-    got = find_contamination(docs, items, text=text, clean=True, **more)
-    got = got.where(F.col("n_hit") <= max_coverage * F.col("n_words"))
-    new = {text: F.col("clean_text")}
-    if "n_chars" in cols:
-        new["n_chars"] = F.when(F.col("n_hit") > 0, F.length("clean_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return got.withColumns(new).select(*cols)
+        src = src.mapInArrow(lambda it, b=shared, end=last, a=arrow: _pass(it, b, end, clean and end, a), schema)
+        if not last:
+            src = durable(src, "runs")
+    return src
+
+
+def find_contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, clean: bool = False, keep: list[str] | None = None, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """docs (or its columns `keep`) with n_words, n_hit, longest (in words), items (ids) and spans (byte offsets within the text).
+
+    clean: also clean_text, the text without its spans. With several item groups n_hit counts the words of the merged spans.
+    """
+    keep = docs.columns if keep is None else list(keep)
+    src = packed(docs, keep, text=col(text))
+    added = [c for c in ADDED if clean or c != "clean_text"]
+    return unpacked(_found(src, items, item_key, item_text, window, clean, group_bytes), keep, *added)
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, *, max_coverage: float = 0.5, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """docs without the spans; documents of which more than max_coverage of the words are hit go. n_chars, where there is a number of that name, follows the text."""
+    others = [c for c in docs.columns if c != text]
+    src = packed(docs, others, text=col(text))
+    got = _found(src, items, item_key, item_text, window, True, group_bytes).where(F.col("n_hit") <= max_coverage * F.col("n_words"))
+    kinds = {f.name: f.dataType for f in docs.schema}
+    out = []
+    for c in docs.columns:
+        old = F.col("clean_text") if c == text else F.col("row").getField(c)
+        if c == "n_chars" and c != text and isinstance(kinds[c], T.NumericType):
+            old = F.when(F.col("n_hit") > 0, F.length("clean_text").cast(kinds[c])).otherwise(old)
+        out.append(old.alias(c))
+    return got.select(*out)
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
