@@ -112,16 +112,26 @@ def slices(col: pa.Array, kind: np.ndarray) -> Iterator[Words]:
         i = j
 
 
+def rolled(w: Words, size: int, whole: bool = False) -> np.ndarray:
+    """64-bit values of the runs of `size` words in text order: those within a text, or (whole) those across texts too."""
+    m = len(w.hash)
+    if m < size:
+        return np.zeros(0, np.uint64)
+    h = w.hash[:m - size + 1].copy()
+    for k in range(1, size):
+        h *= np.uint64(0xFF51AFD7ED558CCD)
+        h += w.hash[k:m - size + 1 + k]
+        h ^= h >> np.uint64(29)
+    h = mix(h)
+    if whole:
+        return h
+    text = np.repeat(np.arange(w.n), np.diff(w.at))
+    return h[text[:m - size + 1] == text[size - 1:]]
+
+
 def shingles(w: Words, size: int) -> list[np.ndarray]:
     """Each text's distinct shingles of `size` words as sorted 64-bit values; with fewer words, the whole sequence as one."""
-    m = len(w.hash)
-    if m >= size:
-        h = w.hash[:m - size + 1].copy()
-        for k in range(1, size):
-            h *= np.uint64(0xFF51AFD7ED558CCD)
-            h += w.hash[k:m - size + 1 + k]
-            h ^= h >> np.uint64(29)
-        h = mix(h)
+    h = rolled(w, size, True)
     out = []
     for i in range(w.n):
         a, b = int(w.at[i]), int(w.at[i + 1])

@@ -5,24 +5,28 @@ create Voronoi regions, windows from the triangle inequality replicate the docum
 each region is joined by itself, again by pivots while it is large:
 
 1. Equal sets become one class. A class is known by a 64-bit digest of its set.
-2. Coarse regions. The first pivots are the single shingles {s}, ranked by hash. All {s} within a
-   set are equally near to it, so its home is that of the lowest rank. A document that links to x lacks at
+2. Near copies first. The class of the least digest among those that share one of their HOMES least shingles is a pivot; a class whose
+   sketch may link to its pivot takes the pivot's name as its label. This is a head start only: it finds no answer, it saves work.
+3. Coarse regions. The first pivots are the single shingles {s}, ranked: those of the crowded cells of a count of all shingles come last,
+   else by hash. All {s} within a set are equally near to it, so its home is that of the lowest rank. A document that links to x lacks at
    most a fifth of x, so x is replicated to its pivots of the first |x| - ceil(0.8 |x|) + 1 ranks: two linked
-   documents surely meet. Regions with the same members are one. Within a region a breadth-first search
-   joins the classes whose sketches (parity bits; their Hamming distance, a metric too, is never
-   above the size of the symmetric difference) allow a link, which yields families.
-3. Families. Each class sends its text once to its family. There the sets are held, pivots are taken
+   documents surely meet. A region whose classes have one label is done; regions with the same members are one. Within a region classes of
+   different labels are compared by their sketches (parity bits; their Hamming distance, a metric too, is never
+   above the size of the symmetric difference); those that may link are joined, which yields families.
+4. Families. Each class sends its text once to its family. There the sets are held, pivots are taken
    from the documents, and Voronoi regions with windows of twice the radius are joined recursively. A pair
    is settled by the bounds |d(x,p) - d(y,p)| and d(x,p) + d(y,p) where these suffice, by its exact
    intersection otherwise. Counts of links and a spanning forest leave the task, never all pairs.
-4. Components of the forests.
+5. Components of the forests.
 
-A region of more than REGION classes, or a family of more than FAMILY shingles, is cut into blocks;
-each pair of blocks is a task. So no task holds an unbounded group, and nothing is dropped or capped.
+A region of more than REGION classes is cut by size (linked sets differ by a quarter at most), and what is still larger into blocks, as is a
+family of more than FAMILY shingles (or, to spread the work, of more than SPREAD sets); each pair of blocks is a task of 2 REGION classes or 2 FAMILY shingles (one set is never cut). So no task
+holds an unbounded group, and nothing is dropped or capped. The work within such a group grows with the square of its blocks.
 
 Defined results: null and wordless texts have an empty set and link with nothing; fewer than five words are
 one shingle. A null id stays null: its component takes the smallest id that there is, or null. Rows that
-are equal in id and text are in one class. An empty table gives an empty one. Extra columns are ignored.
+are equal in id and text are in one class. Of a text of any length all words count. An empty table gives an empty one. Extra columns are
+ignored, and one_of_each() returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,11 +39,21 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import _store
 from ._graph import components
-from ._words import SPACED, mix, shingles, slices
+from ._rows import col, packed, unpacked
+from ._sieve import marked, sieve
+from ._words import SPACED, mix, rolled, shingles, slices
 
 SIZE = 5
 #: A region of more classes, or a family of more shingles, is dealt out as pairs of blocks.
-REGION, FAMILY = 8_000, 6_000_000
+REGION, FAMILY = 1_000, 4_000_000
+#: Shingles by which near copies meet first.
+HOMES = 4
+#: Shingles are counted in 2 ** k cells, k between these by the size of the input; a cell of CROWD times the mean is crowded.
+CELLS, CROWD = (18, 22), 8
+#: Labels up to so many rows (16 bytes each) are broadcast.
+BROADCAST_LABELS = 1_000_000
+#: A family of more sets is dealt over the cluster, as up to WIDE blocks, though one task could hold it.
+SPREAD, WIDE = 96, 16
 #: Bits of the largest sketch.
 SKETCH = 4096
 
@@ -73,11 +87,51 @@ def _unpack(b: bytes, words: int) -> np.ndarray:
     return np.packbits(x).view(np.uint64)
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, th, text -> doc_id, th, class, n, sketch, keys (only for the first of a class in this task)."""
+def _cells(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """How many shingles of this task fall into each cell, in CHUNKS pieces."""
+    total = np.zeros(1 << bits, np.int64)
+    for batch in batches:
+        for w in slices(batch.column(0), SPACED):
+            h = rolled(w, SIZE)
+            if len(h):
+                total += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    parts = np.array_split(np.minimum(total, (1 << 32) - 1).astype(np.uint32), CHUNKS)
+    yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["chunk", "n"])
+
+
+CHUNKS = 64
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            v = np.frombuffer(x, np.uint32).astype(np.int64)
+            sums[c] = sums[c] + v if c in sums else v
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "n"])
+
+
+def crowded(src: DataFrame) -> np.ndarray:
+    """The cells of shingles that are far fuller than the mean, as flags. Only the rank of shingles follows from it, never a result."""
+    size = int(str(src._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    bits = min(CELLS[1], max(CELLS[0], size.bit_length() - 13))
+    kind = "chunk int, n binary"
+    got = src.select("text").mapInArrow(lambda it: _cells(it, bits), kind).repartition(CHUNKS, "chunk").mapInArrow(_sums, kind).collect()  # 2 ** bits numbers, 32 MB at most
+    if not got:
+        return np.zeros(1 << bits, bool)
+    n = np.concatenate([np.frombuffer(r["n"], np.int64) for r in sorted(got, key=lambda r: r["chunk"])])
+    return n > CROWD * max(1.0, n.mean())
+
+
+def _measure(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """doc_id, th, text -> doc_id, th, class, n, sketch, homes, keys, hot (the keys of crowded cells; these four only for the first of a class in this task)."""
+    full = shared.value
+    shift = np.uint64(64 - (len(full).bit_length() - 1))
     seen: set[int] = set()
+    lists = lambda xs: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(0 if x is None else len(x) for x in xs)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *(x.view(np.int64) for x in xs if x is not None)])))
     for batch in batches:
-        ids, ns, sks, keys = [], [], [], []
+        ids, ns, sks, homes, keys, hot = [], [], [], [], [], []
         for w in slices(batch.column(2), SPACED):
             for s in shingles(w, SIZE):
                 c = digest(s)
@@ -86,14 +140,17 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(s) and c not in seen:
                     if len(seen) < 1_000_000:
                         seen.add(c)
+                    late = full[(s >> shift).astype(np.int64)]
+                    cold = s[~late]
+                    m = len(s) - (-(-4 * len(s) // 5)) + 1
                     sks.append(sketch(s))
-                    keys.append(s[:len(s) - (-(-4 * len(s) // 5)) + 1].view(np.int64))
+                    homes.append(s[:HOMES])
+                    keys.append(cold[:m])
+                    hot.append(s[late][:max(0, m - len(cold))])
                 else:
-                    sks.append(None)
-                    keys.append(None)
-        lens = np.cumsum([0, *(0 if k is None else len(k) for k in keys)]).astype(np.int32)
-        flat = np.concatenate([k for k in keys if k is not None]) if lens[-1] else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(sks, pa.binary()), pa.ListArray.from_arrays(pa.array(lens), pa.array(flat))], ["doc_id", "th", "class", "n", "sketch", "keys"])
+                    for x in (sks, homes, keys, hot):
+                        x.append(None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(sks, pa.binary()), lists(homes), lists(keys), lists(hot)], ["doc_id", "th", "class", "n", "sketch", "homes", "keys", "hot"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int, work: Callable[[pa.Table], list[tuple]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -136,14 +193,32 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int, work: Callable[[pa.T
         yield made()
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """class, n, sketch, b, n2, sketch2 -> class and b where the sketches allow a link."""
+    for t in batches:
+        n, m = t.column(1).to_numpy(), t.column(4).to_numpy()
+        ok = (4 * n <= 5 * m) & (4 * m <= 5 * n)
+        for k in np.flatnonzero(ok):
+            x, y = t.column(2)[int(k)].as_py(), t.column(5)[int(k)].as_py()
+            words = min(len(x), len(y)) // 8
+            ok[k] = 9 * int(np.bitwise_count(_unpack(x, words) ^ _unpack(y, words)).sum()) <= n[k] + m[k]
+        yield pa.RecordBatch.from_arrays([t.column(0), t.column(3)], ["a", "b"]).filter(pa.array(ok))
+
+
 def _region(t: pa.Table) -> list[tuple]:
-    """Candidate families within a region: (class, least class of its family) for all but that."""
+    """Pairs of classes of a region that join its labels into families: those that may link, no more than join two labels."""
     cls, n = t.column("class").to_numpy(), t.column("n").to_numpy()
-    sk = t.column("sketch").to_pylist()
     if len(cls) == 2:
+        if 4 * max(n) > 5 * min(n):
+            return []
+        sk = t.column("sketch").to_pylist()
         words = min(len(sk[0]), len(sk[1])) // 8
-        ok = 4 * max(n) <= 5 * min(n) and 9 * int(np.bitwise_count(_unpack(sk[0], words) ^ _unpack(sk[1], words)).sum()) <= n[0] + n[1]
-        return [(int(max(cls)), int(min(cls)))] if ok else []
+        ok = 9 * int(np.bitwise_count(_unpack(sk[0], words) ^ _unpack(sk[1], words)).sum()) <= n[0] + n[1]
+        return [(int(cls[0]), int(cls[1]))] if ok else []
+    names, label, count = np.unique(t.column("label").to_numpy(), return_inverse=True, return_counts=True)
+    if len(names) < 2:
+        return []
+    sk = t.column("sketch").to_pylist()
     full = np.array([len(x) // 8 for x in sk])
     folded: dict[int, np.ndarray] = {}
     for w in np.unique(full):  # partners have half to twice the bits, as sizes differ by a quarter at most
@@ -151,42 +226,31 @@ def _region(t: pa.Table) -> list[tuple]:
         for i in np.flatnonzero((full == w) | (full == 2 * w)):
             m[i] = _unpack(sk[i], int(w))
         folded[int(w)] = m
-    left = np.ones(len(cls), bool)
     out = []
-    for seed in range(len(cls)):
-        if not left[seed]:
-            continue
-        left[seed] = False
-        found, queue = [seed], [seed]
-        while queue:
-            i = queue.pop()
-            js = np.flatnonzero(left & (4 * n <= 5 * n[i]) & (4 * n[i] <= 5 * n))
-            hit = []
-            for w in np.unique(np.minimum(full[js], full[i])):
-                part = js[np.minimum(full[js], full[i]) == w]
-                m = folded[int(w)]
-                far = np.bitwise_count(m[part] ^ m[i]).sum(1, dtype=np.int64)
-                hit.extend(part[9 * far <= n[part] + n[i]].tolist())
-            left[hit] = False
-            found += hit
-            queue += hit
-        if len(found) > 1:
-            least = int(cls[found].min())
-            out += [(int(c), least) for c in cls[found] if c != least]
+    for i in np.flatnonzero(label != count.argmax()):  # two members of the largest label are no pair
+        js = np.flatnonzero((label != label[i]) & (4 * n <= 5 * n[i]) & (4 * n[i] <= 5 * n))
+        least = np.minimum(full[js], full[i])
+        for w in np.unique(least):
+            part = js[least == w]
+            m = folded[int(w)]
+            far = np.bitwise_count(m[part] ^ m[i]).sum(1, dtype=np.int64)
+            for x in np.unique(label[part[9 * far <= n[part] + n[i]]]):
+                out.append((int(cls[i]), int(cls[np.flatnonzero(label == x)[0]])))
+                label[label == x] = label[i]
     return out
 
 
 class Family:
     """Exact join of the sets of one task; cross: only pairs of two sides count."""
 
-    LEAF, PIVOTS = 256, 8
+    LEAF, PIVOTS = 8, 8
 
     def __init__(self, sets: list[np.ndarray], side: np.ndarray | None = None):
         self.sets, self.side = sets, side
         self.n = np.array([len(s) for s in sets], np.int64)
         self.label = np.arange(len(sets))
         self.links = np.zeros(len(sets), np.int64)
-        self.settled = [0, 0]  # pairs settled by bounds, by intersections
+        self.settled = [0, 0, 0]  # pairs settled by the upper bound, by windows, by intersections; pairs of far regions are never met
 
     def run(self) -> Family:
         k = len(self.sets)
@@ -255,12 +319,14 @@ class Family:
             if dx is not None:
                 for p in range(len(dx)):
                     u, v = dx[p][rows][:, None], dy[p][cols][None]
-                    open_ &= np.abs(u - v) <= 0.2 + 1e-9
+                    far = open_ & (np.abs(u - v) > 0.2 + 1e-9)
+                    self.settled[1] += int(far.sum())
+                    open_ &= ~far
                     sure |= u + v <= 0.2 - 1e-9
             sure &= open_
             ask = open_ & ~sure
             self.settled[0] += int(sure.sum())
-            self.settled[1] += int(ask.sum())
+            self.settled[2] += int(ask.sum())
             link = sure
             if ask.any():
                 link = sure.copy()
@@ -341,35 +407,59 @@ def _family(t: pa.Table) -> list[tuple]:
 def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", region: int = REGION, family: int = FAMILY) -> DataFrame:
     """Each row's doc_id, th (hash of the text), n_shingles, component_id, n_links (links of its set to other sets) and root (a name of its component; null without words)."""
     spark = docs.sparkSession
-    src = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    sets_path = _store.store(src.mapInArrow(_measure, "doc_id long, th long, class long, n long, sketch binary, keys array<long>"), "sets")
-    sets = _store.reread(spark, sets_path)
-
-    # regions with two classes or more; those with the same members are one
-    rows = sets.where(F.col("keys").isNotNull()).select(F.explode("keys").alias("key"), "class").repartition("key").dropDuplicates(["key", "class"])
+    src = docs.select(col(key).cast("long").alias("doc_id"), F.xxhash64(col(text)).alias("th"), col(text).alias("text"))
+    shared = spark.sparkContext.broadcast(crowded(src))
+    sets = _store.durable(src.mapInArrow(lambda it: _measure(it, shared), "doc_id long, th long, class long, n long, sketch binary, homes array<long>, keys array<long>, hot array<long>"), "sets")
+    classes_path = _store.store(sets.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.max("sketch").alias("sketch"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")).alias("rep")), "set_classes")
+    classes = _store.reread(spark, classes_path)
+    drawn = classes.select("class", "n", "sketch")
+
+    # near copies first: each class against the pivots of its homes
+    homes = sets.where("sketch is not null").select(F.explode("homes").alias("key"), "class")
+    pivots = homes.groupBy("key").agg(F.min("class").alias("b"), F.max("class").alias("z")).where("b <> z").select("key", "b")
+    pairs = homes.join(pivots, "key").where("class <> b").select("class", "b").distinct()
+    pairs = pairs.join(drawn, "class").join(drawn.withColumnsRenamed({"class": "b", "n": "n2", "sketch": "sketch2"}), "b").select("class", "n", "sketch", "b", "n2", "sketch2")
+    near_path = _store.store(pairs.mapInArrow(_near, "a long, b long"), "near")
+    near = _store.reread(spark, near_path)
+    labels = near.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label"))
+    labels = F.broadcast(labels) if labels.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS else labels
+    named = sets.where("sketch is not null").join(labels, F.col("class") == F.col("node"), "left")
+    label = F.coalesce("label", "class")  # after the shuffle: most rows have no label but their class
+
+    # regions with two labels or more; those with the same members are one. A crowded key may have any number of rows: it is counted first
+    cold = named.select(F.explode("keys").alias("key"), "class", "label").repartition("key").dropDuplicates(["key", "class"])
     w = _over("key")
-    rows = rows.select("class", F.count("*").over(w).alias("c"), F.bit_xor(F.xxhash64("class")).over(w).alias("s1"), F.bit_xor(F.xxhash64("class", F.lit(1))).over(w).alias("s2")).where("c > 1")
-    members = rows.groupBy("s1", "s2", "c", "class").agg(F.lit(1).alias("one")).drop("one")
-    classes = sets.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.max("sketch").alias("sketch"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")).alias("rep"))
-    blocks = F.ceil(F.col("c") / region).cast("int")
-    dealt = members.join(classes.select("class", "n", "sketch"), "class").withColumn("pair", _pairs_of(F.pmod(F.xxhash64("class", F.lit(7)), blocks).cast("int"), blocks))
-    dealt = dealt.select("s1", "s2", F.explode("pair").alias("pair"), "class", "n", "sketch").repartition("s1", "s2", "pair").sortWithinPartitions("s1", "s2", "pair")
+    cold = cold.select("class", label.alias("label"), F.min(label).over(w).alias("x"), F.max(label).over(w).alias("y"), F.count("*").over(w).alias("c"), F.bit_xor(F.xxhash64("class")).over(w).alias("s1"), F.bit_xor(F.xxhash64("class", F.lit(1))).over(w).alias("s2")).where("x <> y")
+    hot = named.select(F.explode("hot").alias("s1"), "class", label.alias("label")).distinct()
+    mixed = hot.groupBy("s1").agg(F.count("*").alias("c"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("s1", "c")
+    hot = hot.join(mixed, "s1").select("class", "label", "c", "s1", F.lit(0).cast("long").alias("s2"))
+    members_path = _store.store(cold.select("class", "label", "c", "s1", "s2").unionByName(hot).distinct(), "members")
+    members = _store.reread(spark, members_path).join(drawn, "class")
+    small = members.where(F.col("c") <= region).select("s1", "s2", F.lit(0).alias("band"), F.lit(0).alias("pair"), "class", "n", "sketch", "label")
+    band = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
+    large = members.where(F.col("c") > region).withColumn("band", F.explode(F.array(band + 1, band + 2)))
+    sizes = large.groupBy("s1", "s2", "band").agg(F.ceil(F.count("*") / region).cast("int").alias("blocks"))
+    large = large.join(sizes, ["s1", "s2", "band"]).withColumn("pair", F.explode(_pairs_of(F.pmod(F.xxhash64("class", F.lit(7)), F.col("blocks")).cast("int"), F.col("blocks"))))
+    dealt = small.unionByName(large.select(*small.columns)).repartition("s1", "s2", "band", "pair").sortWithinPartitions("s1", "s2", "band", "pair")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    edges = _store.durable(dealt.mapInArrow(lambda it: _groups(it, 3, _region, schema), "a long, b long").distinct(), "candidates")
-    fams = components(edges)
+    edges = dealt.mapInArrow(lambda it: _groups(it, 4, _region, schema), "a long, b long")
+    edges_path = _store.store(edges.unionByName(near).distinct(), "candidates")
+    fams = components(_store.reread(spark, edges_path))
 
-    # families with their texts
+    # families with their texts; a bitmap of the texts in question keeps the others from being shuffled
     fam = fams.join(classes.select("class", "n", "rep"), fams.node == F.col("class")).select("class", "comp", "n", "rep.doc_id", "rep.th")
-    size = fam.groupBy("comp").agg(F.ceil(F.sum("n") / family).cast("int").alias("blocks"))
-    fam = fam.join(size, "comp")
-    d = src.withColumnsRenamed({"doc_id": "d", "th": "t"})
-    got = fam.join(d, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
+    size = fam.groupBy("comp").agg(F.greatest(F.ceil(F.sum("n") / family), F.least(F.ceil(F.count("*") / SPREAD), F.lit(WIDE))).cast("int").alias("blocks"))
+    fam_path = _store.store(fam.join(size, "comp").select("class", "comp", "blocks", "doc_id", "th"), "families")
+    fam = _store.reread(spark, fam_path)
+    d = marked(src, "th", sieve(fam, "th")).where("sieve_hit").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "text")
+    got = fam.join(d, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).groupBy("class", "comp", "blocks").agg(F.first("text").alias("text"))  # rows equal in id and text: one
     block = F.pmod(F.xxhash64("class", F.lit(9)), F.col("blocks")).cast("int")
     got = got.select("comp", F.explode(_pairs_of(block, F.col("blocks"))).alias("pair"), "class", block.alias("block"), "text").repartition("comp", "pair").sortWithinPartitions("comp", "pair")
     found_schema = pa.schema([("class", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
-    found = _store.durable(got.mapInArrow(lambda it: _groups(it, 2, _family, found_schema), "class long, root long, links long"), "links")
+    found_path = _store.store(got.mapInArrow(lambda it: _groups(it, 2, _family, found_schema), "class long, root long, links long"), "links")
+    found = _store.reread(spark, found_path)
     roots = found.where("class != root").select(F.col("class").alias("a"), F.col("root").alias("b"))
-    if size.where("blocks > 1").limit(1).count():
+    if fam.where("blocks > 1").limit(1).count():
         comp = components(roots).select(F.col("node").alias("class"), F.col("comp").alias("root"))
     else:
         comp = found.select("class", "root")
@@ -379,6 +469,8 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", re
     by_class = comp.join(whole, "root").join(links, "class").select(F.col("class").alias("k"), "root", "component", "n_links")
     by_class = least.join(by_class, F.col("class") == F.col("k"), "left").select(F.col("class").alias("k"), F.coalesce("root", "class").alias("root"), F.coalesce("component", "least").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     by_class = _store.durable(by_class, "classes")
+    for path in (classes_path, near_path, members_path, edges_path, fam_path, found_path):
+        _store.drop(spark, path)
     out = sets.join(by_class, (F.col("n") > 0) & (F.col("class") == F.col("k")), "left")
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "root")
 
@@ -399,10 +491,16 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     got = jaccard_classes(docs, text, key)
     alone = F.col("root").isNull()
     comp = F.struct("root", F.when(alone, F.col("doc_id")).alias("c"), F.when(alone, F.col("th")).alias("t"))
-    keep = got.withColumn("comp", comp).groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")).alias("k")).select(F.col("k.doc_id").alias("_kd"), F.col("k.th").alias("_kt"))
-    d = docs.withColumns({"_d": F.col(key).cast("long"), "_t": F.xxhash64(text)})
-    out = d.join(keep, F.col("_d").eqNullSafe(F.col("_kd")) & (F.col("_t") == F.col("_kt")), "left_semi")
-    return out.dropDuplicates(["_d", "_t"]).select(*docs.columns)
+    rows = got.groupBy("root", "doc_id", "th").agg(F.count("*").alias("same")).withColumn("comp", comp).withColumn("k", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th"))
+    best = rows.groupBy("comp").agg(F.min("k").alias("best"), F.count("*").alias("m"), F.max("same").alias("same")).where("m > 1 or same > 1").drop("same")
+    # rows to judge: those of components with more than one row; all others stay without a shuffle of their texts
+    judged = rows.join(best, "comp").where(~((F.col("k") == F.col("best")) & (F.col("same") == 1))).select("doc_id", "th", (F.col("k") == F.col("best")).alias("first"))
+    judged = _store.durable(judged, "repeats").withColumnsRenamed({"doc_id": "kd", "th": "kt"})
+    src = marked(packed(docs, d=col(key).cast("long"), t=F.xxhash64(col(text))), "t", sieve(judged, "kt"))
+    sure = src.where("not sieve_hit").select("row")
+    asked = src.where("sieve_hit").join(judged, F.col("d").eqNullSafe(F.col("kd")) & (F.col("t") == F.col("kt")), "left").where("first is null or first")
+    once = asked.where("first").groupBy("d", "t").agg(F.first("row").alias("row")).select("row")
+    return unpacked(sure.unionByName(asked.where("first is null").select("row")).unionByName(once), docs.columns)
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
