@@ -16,7 +16,10 @@ def packed(docs: DataFrame, columns: list[str] | None = None, **more: Column) ->
     return docs.select(row.alias("row"), *[c.alias(n) for n, c in more.items()])
 
 
-def unpacked(df: DataFrame, columns: list[str], *more: str, without: tuple[str, ...] = ()) -> DataFrame:
-    """The caller's columns (but `without`) as they were, then those of df named in `more`; an own column of such a name gives way."""
-    keep = [c for c in columns if c not in more and c not in without]
-    return df.select(*[F.col("row").getField(c).alias(c) for c in keep], *[F.col(c) for c in more])
+def unpacked(df: DataFrame, columns: list[str], *more: str, text: str | None = None) -> DataFrame:
+    """The caller's columns as they were, then those of df named in `more`; an own column of such a name gives way.
+
+    text: a column of the caller that df carries beside `row`, as `text`.
+    """
+    own = lambda c: F.col("text") if c == text else F.col("row").getField(c)
+    return df.select(*[own(c).alias(c) for c in columns if c not in more], *[F.col(c) for c in more])

@@ -9,7 +9,9 @@ Training takes a bounded sample: the rated rows with the least hash of their id,
 its hashed cells (DIM at most) come to the driver. Of an id that several rows have, the greatest text is taken.
 
 Defined results: a null or blank text has the mark `empty` alone. With fewer than two grades among the ratings every text gets
-the grade that there is (0 with none) and is kept. Ratings of an id that differ are left out. Repeated rows are rated alike.
+the grade that there is (0 with none) and is kept. Ratings of an id that differ are left out. Repeated rows are rated alike; all of a text
+counts, however long. An empty table gives an empty one. rate() replaces columns of the input that are named as those it adds; good() returns the
+input's columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ._rows import col, packed, unpacked
+
 DIM = 1 << 13
 SAMPLE_ROWS = 4_000
 #: A document is kept if P(grade >= 1) is at least this.
@@ -142,7 +146,7 @@ def graded(labels: DataFrame) -> DataFrame:
 def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, rows: int = SAMPLE_ROWS, text: str = "text", key: str = "doc_id") -> QualityModel:
     """ratings: doc_id and grade (0 .. grades - 1)."""
     ids = ratings.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.max("grade").alias("z")).where("grade = z").select(F.col("doc_id").alias("_id"), "grade").orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    src = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(ids), F.col("_k") == F.col("_id"))
+    src = docs.select(col(key).alias("_k"), col(text).alias("_t")).join(F.broadcast(ids), F.col("_k") == F.col("_id"))
     src = src.groupBy("_id").agg(F.max("grade").alias("grade"), F.max("_t").alias("_t"))  # one text for each id, however often it occurs
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,12 +167,11 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, rows: int = SAMP
     return QualityModel(CumulativeLink(grades).fit(x, y), grades=grades)
 
 
-def rate(docs: DataFrame, model: QualityModel, text: str = "text", keep: list[str] | None = None, threshold: float = KEEP) -> DataFrame:
-    """docs (or its columns `keep`) with expected_grade, p_1 .. p_k (tail probabilities) and kept; clashing columns are replaced."""
-    added = ["expected_grade", *(f"p_{k}" for k in range(1, model.grades)), "kept"]
-    names = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    src = docs.select(*[F.col(c) for c in names], F.col(text).alias("_text"))
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in src.schema][:-1] + [T.StructField(c, T.DoubleType()) for c in added[:-1]])
+def _rated(docs: DataFrame, columns: list[str], model: QualityModel, text: str, threshold: float) -> DataFrame:
+    """row (the columns but the text), text, and the columns that rate() adds."""
+    src = packed(docs, [c for c in columns if c != text], text=col(text))
+    added = ["expected_grade", *(f"p_{k}" for k in range(1, model.grades))]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in src.schema] + [T.StructField(c, T.DoubleType()) for c in added])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,12 +179,23 @@ def rate(docs: DataFrame, model: QualityModel, text: str = "text", keep: list[st
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
-                tails = np.array([m.tails(h, t) for t in part.column(part.num_columns - 1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(tails.sum(1)), *(pa.array(tails[:, j]) for j in range(tails.shape[1]))], [*names, *added[:-1]])
+                tails = np.array([m.tails(h, t) for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tails.sum(1)), *(pa.array(tails[:, j]) for j in range(tails.shape[1]))], ["row", "text", *added])
 
     return src.mapInArrow(scores, schema).withColumn("kept", F.col("p_1") >= threshold)
 
 
+def rate(docs: DataFrame, model: QualityModel, text: str = "text", keep: list[str] | None = None, threshold: float = KEEP) -> DataFrame:
+    """docs (or its columns `keep`) with expected_grade, p_1 .. p_k (tail probabilities) and kept; clashing columns are replaced."""
+    names = docs.columns if keep is None else keep
+    return unpacked(_rated(docs, names, model, text, threshold), names, "expected_grade", *(f"p_{k}" for k in range(1, model.grades)), "kept", text=text)
+
+
+def good(docs: DataFrame, model: QualityModel, text: str = "text", threshold: float = KEEP) -> DataFrame:
+    """The documents that are kept, with their own columns."""
+    return unpacked(_rated(docs, docs.columns, model, text, threshold).where("kept"), docs.columns, text=text)
+
+
 def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs, graded(spark.read.parquet(f"{sf_dir}/labels.parquet")))

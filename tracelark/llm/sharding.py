@@ -10,7 +10,8 @@ Law `bytes`: shards are key ranges of nearly equal bytes. Size: UTF-8 bytes of t
 plus 8. A third of all rows in one group of copies is no matter: the id, then the row, splits it.
 
 Defined results: a null text has size 8 and crc32 0; null ids hash like any value; rows that are equal in
-id and text are told apart by a row number, so each has a slot of its own. An empty table gives an empty one.
+id and text are told apart by a row number, so each has a slot of its own. An empty table gives an empty one. A very long text is one row of
+one shard. shard_documents() reads the id and the text only; write_shards() writes all columns, but for own ones named shard and slot.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections import defaultdict
 
 from pyspark.sql import DataFrame, functions as F, Window as W
 
+from ._rows import col, packed, unpacked
 from ._store import durable
 
 #: Hex digits (4 bits each) that a round refines, and the digits of the whole key.
@@ -29,13 +31,13 @@ TOLERANCE = 0.002
 LEAF = 8
 
 
-def _sizes(docs: DataFrame, text: str, key: str) -> DataFrame:
-    t = F.col(text)
-    return docs.select(
-        F.col(key).alias("doc_id"),
-        (F.coalesce(F.octet_length(t), F.lit(0)) + 8).cast("long").alias("size"),
-        F.crc32(F.coalesce(t, F.lit("")).cast("binary")).alias("text_crc32"),
-        F.xxhash64(t).alias("_h1"), F.xxhash64(F.col(key)).alias("_h2"), F.monotonically_increasing_id().alias("_row"),
+def _sizes(docs: DataFrame, text: str, key: str, whole: bool = False) -> DataFrame:
+    t = col(text)
+    return packed(
+        docs, None if whole else [], doc_id=col(key),
+        size=(F.coalesce(F.octet_length(t), F.lit(0)) + 8).cast("long"),
+        text_crc32=F.crc32(F.coalesce(t, F.lit("")).cast("binary")),
+        _h1=F.xxhash64(t), _h2=F.xxhash64(col(key)), _row=F.monotonically_increasing_id(),
     )
 
 
@@ -87,26 +89,30 @@ def _off(x: float, total: int, shards: int) -> float:
     return abs(y - round(y)) * total / shards
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, size, text_crc32, law, shard and slot of each row of docs."""
+def _placed(docs: DataFrame, shards: int, text: str, key: str, whole: bool) -> DataFrame:
+    """row (all columns, or none), doc_id, size, text_crc32, shard and slot."""
     spark = docs.sparkSession
-    narrow = durable(_sizes(docs, text, key), "sizes").withColumn("_k", _key())
-    cells, _ = splitters(narrow, shards)
+    narrow = durable(_sizes(docs, text, key, whole), "sizes").withColumn("_k", _key())
+    cells, _ = splitters(narrow.drop("row"), shards)
     out = narrow
     depths = sorted({len(c) for c, *_ in cells if c})
     for d in depths:  # at most as many as rounds; each table is bounded as splitters() says
         leaf = spark.createDataFrame([x for x in cells if len(x[0]) == d], "_c string, _shard int, _slot long").withColumnsRenamed({k: f"{k}{d}" for k in ("_c", "_shard", "_slot")})
         out = out.join(F.broadcast(leaf), F.substring("_k", 1, d) == F.col(f"_c{d}"), "left")
     pick = (lambda k: F.coalesce(*(F.col(f"{k}{d}") for d in depths))) if depths else (lambda k: F.lit(None))
-    out = out.select("doc_id", "size", "text_crc32", "_k", pick("_c").cast("string").alias("_c"), pick("_shard").cast("int").alias("shard"), pick("_slot").cast("long").alias("_s"))
+    out = out.select("row", "doc_id", "size", "text_crc32", "_k", pick("_c").cast("string").alias("_c"), pick("_shard").cast("int").alias("shard"), pick("_slot").cast("long").alias("_s"))
     slot = F.row_number().over(W.partitionBy("_c").orderBy("_k")) - 1 + F.col("_s")
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.cast("long").alias("slot"))
+    return out.withColumn("slot", slot.cast("long"))
+
+
+def shard_documents(docs: DataFrame, shards: int = 24, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, size, text_crc32, law, shard and slot of each row of docs."""
+    return _placed(docs, shards, text, key, False).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, text: str = "text", key: str = "doc_id") -> None:
-    """Write docs to path, one folder for each shard. The id must be unique here, as it joins the rows to their shards."""
-    placed = shard_documents(docs, shards, text, key).select(F.col("doc_id").alias("_id"), "shard", "slot")
-    docs.drop("shard", "slot").join(placed, F.col(key).eqNullSafe(F.col("_id"))).drop("_id").write.partitionBy("shard").parquet(path)
+    """Write docs to path, one folder for each shard, with shard and slot. Rows travel with their place, so ids may repeat or be null."""
+    unpacked(_placed(docs, shards, text, key, True), docs.columns, "shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op2_sharding(spark, sf_dir: str) -> DataFrame:

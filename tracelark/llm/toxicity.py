@@ -4,12 +4,14 @@ The lexicon holds a few seed words, and words and word stems (first letters) tha
 training texts. Features: densities of lexicon words, stems and disguised lexicon words, distance to the nearest
 second person, capitals, punctuation, digits within words, repetition and length. Labels, language, source and ids are no input.
 
-Training takes a bounded sample: the labelled rows with the least hash of their id, SAMPLE_ROWS and SAMPLE_BYTES of text at most.
+Training takes a bounded sample: the labelled rows with the least hash of their id, SAMPLE_ROWS at most, up to the first that would pass SAMPLE_BYTES
+of text (a text that is longer than that by itself is left out).
 Features of a training text use the lexicon of the other folds, so that the trees see lexicons that have not seen
 the text. Scores of all texts are computed where the texts lie.
 
-Defined results: a null or empty text has zero for each feature and is scored like any other. Without labels of both kinds the
+Defined results: a null or empty text has zero for each feature and is scored like any other; all of a text counts, however long. Without labels of both kinds the
 score is the share of toxic labels (0 with none). Repeated rows score alike. An empty table gives an empty one.
+A column score of the input is replaced, all others but the text are kept.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ class Lexicon:
     @staticmethod
     def tokens(text: str) -> set[str]:
         """The words of a text, and its stems marked by their length."""
-        words = {w.strip(_TRIM) for w in text.lower().split()}
+        words = {w.strip(_TRIM) for w in (text or "").lower().split()}
         words.discard("")
         return words | {f"{k}{w[:k]}" for w in words if w.isalpha() for k in Lexicon.STEMS if len(w) >= k + 1}
 
@@ -198,7 +200,7 @@ class ToxicityModel:
 def train(texts: list[str], toxic: np.ndarray) -> ToxicityModel:
     n = len(texts)
     share = float(toxic.mean()) if n else 0.0
-    if n < 20 or not 0 < share < 1:
+    if not 0 < share < 1:
         return ToxicityModel(Lexicon({w: 3.0 for w in SEEDS}, {}), None, None, share)
     fold = np.zeros(n, np.int64)  # both labels spread evenly over the folds
     for label in (0, 1):
@@ -229,21 +231,21 @@ def train(texts: list[str], toxic: np.ndarray) -> ToxicityModel:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray]:
-    """The labelled texts with the least hash of their id, `rows` and `most` bytes of them at most. Labels of ids that repeat or are null are left out."""
-    ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z").select("doc_id", "y")
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    """The labelled texts with the least hash of their id (a number or a string), `rows` and `most` bytes of them at most. Labels of ids that repeat or are null are left out."""
+    ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z")
+    ids = ids.select("doc_id", "y", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(rows)
     got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # `rows` rows at most
-    sizes = got.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("b")).collect()
-    total, keep = 0, []
-    for r in sorted(sizes, key=lambda r: ((r["doc_id"] * 2654435761) & 0xFFFFFFFF, r["doc_id"])):
-        if total + (r["b"] or 0) <= most:
-            total += r["b"] or 0
-            keep.append((r["doc_id"],))
-    if not keep:
+    sizes = got.groupBy("doc_id", "h").agg(F.max(F.octet_length("text")).alias("b")).where(F.coalesce("b", F.lit(0)) <= most).collect()
+    total, last = 0, None
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        total += r["b"] or 0
+        if total > most:
+            break
+        last = r["h"]
+    if last is None:
         return [], np.zeros(0, np.int64)
-    spark = docs.sparkSession
-    got = got.join(F.broadcast(spark.createDataFrame(keep, "doc_id long").withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.max("text").alias("text"))
-    found = sorted(got.collect(), key=lambda r: r["doc_id"])
+    found = got.where((F.col("h") <= last) & (F.coalesce(F.octet_length("text"), F.lit(0)) <= most)).groupBy("doc_id").agg(F.first("y").alias("y"), F.max("text").alias("text")).collect()
+    found.sort(key=lambda r: r["doc_id"])
     return [r["text"] or "" for r in found], np.array([int(r["y"]) for r in found], np.int64)
 
 
