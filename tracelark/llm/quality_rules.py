@@ -4,10 +4,12 @@ Each document is measured and put to four rules. The failures are summed by host
 shrunk towards an empirical beta prior (fitted by the method of moments over all hosts), and a host
 whose shrunk rate passes the limit is rejected with all its documents.
 
+Texts are measured once: the measured rows are stored, the hosts' failures are summed from there, and the verdicts join them.
+
 Defined results: a null or blank text has no words, so it fails the length rule. A null host is a host
 of its own, never rejected (nothing says that its documents belong together). An empty table gives an
-empty table. Repeated rows are judged one by one. Columns of the input whose names clash with those
-added here are replaced.
+empty table. Repeated rows are judged one by one; texts of any length are measured whole. quality_rules() replaces columns of the input that are named as those
+it adds; passing() returns the input's columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ._rows import col, packed, unpacked
 from ._store import durable
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -32,12 +35,15 @@ class RuleLimits:
     max_host_rate: float = 0.5
 
 
-def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words (all long)."""
-    t = F.coalesce(F.col(text), F.lit(""))
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
+def measures(src: DataFrame) -> DataFrame:
+    """src (row, host, text) as row, host and the MEASURES (all long)."""
+    t = F.coalesce(F.col("text"), F.lit(""))
     words = F.filter(F.split(t, SPACE), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.withColumns({
+    out = src.withColumns({
         "word_chars": F.length(F.regexp_replace(t, SPACE, "")).cast("long"),
         "n_symbols": (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long"),
         "_w": words,
@@ -48,7 +54,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_lines": F.size("_l").cast("long"),
         "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
         "_h": _windows(F.col("_w")),
-    }).drop("_w", "_l")
+    }).drop("_w", "_l", "text")
     return _covered(out)
 
 
@@ -79,53 +85,62 @@ def _covered(df: DataFrame) -> DataFrame:
     gaps = F.zip_with(F.col("_i"), F.slice(F.col("_i"), 2, F.greatest(F.size("_i"), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
     df = df.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0), lambda x, y: x + y).cast("long")).drop("_i")
     # one row in, one row out: a generator keeps the optimizer from copying these expressions into later filters
-    made = ("word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines", "n_repeat_words")
-    return df.select(*[c for c in df.columns if c not in made], F.inline(F.array(F.struct(*made))))
+    return df.select(*[c for c in df.columns if c not in MEASURES], F.inline(F.array(F.struct(*MEASURES))))
 
 
-def judged(docs: DataFrame, limits: RuleLimits = RuleLimits(), text: str = "text") -> DataFrame:
+def judged(src: DataFrame, limits: RuleLimits = RuleLimits()) -> DataFrame:
     """measures() and base_failed, and failed: at least one of the four rules is broken."""
-    m = measures(docs, text)
+    m = measures(src)
     base = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words"))
     return m.withColumn("base_failed", base).withColumn("failed", base | (F.col("n_symbols") > limits.max_symbols_per_word * F.col("n_words")) | (F.col("n_dup_lines") > limits.max_dup_line_share * F.col("n_lines")))
 
 
-def host_verdicts(rules: DataFrame, limits: RuleLimits = RuleLimits(), host: str = "source") -> DataFrame:
+def host_verdicts(rules: DataFrame, limits: RuleLimits = RuleLimits()) -> DataFrame:
     """One row for each host: host, docs, failures, host_rate (shrunk) and host_kept.
 
     With rates p_i = f_i / n_i, mean m and variance v over the hosts, the prior has strength
     s = m (1 - m) / v - 1, held within [1, 1000]; the shrunk rate is (f_i + m s) / (n_i + s).
     """
-    by = rules.groupBy(F.col(host).alias("_host")).agg(F.count("*").alias("docs"), F.sum(F.col("failed").cast("long")).alias("failures"))
+    by = rules.groupBy("host").agg(F.count("*").alias("docs"), F.sum(F.col("failed").cast("long")).alias("failures"))
     rate = F.col("failures") / F.col("docs")
-    prior = by.agg(F.avg(rate).alias("_m"), F.var_pop(rate).alias("_v"))
-    m, v = F.col("_m"), F.col("_v")
+    prior = by.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"))
+    m, v = F.col("m"), F.col("v")
     strength = F.when(v > 0, F.least(F.greatest(m * (1 - m) / v - 1, F.lit(1.0)), F.lit(1000.0))).otherwise(F.lit(1000.0))
     got = by.join(F.broadcast(prior), F.lit(True))  # one row
     shrunk = (F.col("failures") + m * strength) / (F.col("docs") + strength)
-    return got.select("_host", "docs", "failures", shrunk.alias("host_rate"), (F.col("_host").isNull() | (F.round(shrunk, 9) <= limits.max_host_rate)).alias("host_kept"))
+    return got.select("host", "docs", "failures", shrunk.alias("host_rate"), (F.col("host").isNull() | (F.round(shrunk, 9) <= limits.max_host_rate)).alias("host_kept"))
 
 
-def with_verdicts(rules: DataFrame, hosts: DataFrame, host: str = "source") -> DataFrame:
+def with_verdicts(rules: DataFrame, hosts: DataFrame) -> DataFrame:
     """rules with host_rate, host_kept and kept; the host table is broadcast only up to BROADCAST_HOSTS rows."""
     small = hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    right = hosts.select("_host", "host_rate", "host_kept")
-    out = rules.join(F.broadcast(right) if small else right, F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host")
+    right = hosts.select(F.col("host").alias("h"), "host_rate", "host_kept")
+    out = rules.join(F.broadcast(right) if small else right, F.col("host").eqNullSafe(F.col("h")), "left").drop("h")
     return out.withColumn("kept", ~F.col("base_failed") & F.col("host_kept"))
 
 
+def _verdicts(rules: DataFrame, limits: RuleLimits) -> DataFrame:
+    rules = durable(rules, "rules")
+    return with_verdicts(rules, durable(host_verdicts(rules, limits), "hosts"))
+
+
 def quality_rules(docs: DataFrame, limits: RuleLimits = RuleLimits(), host: str = "source", text: str = "text") -> DataFrame:
     """docs, all columns, with the measures, failed, base_failed, host_rate, host_kept and kept."""
-    rules = judged(docs.drop("host_rate", "host_kept", "kept", "failed", "base_failed"), limits, text)
-    hosts = durable(host_verdicts(rules.select(host, "failed"), limits, host), "hosts")
-    return with_verdicts(rules, hosts, host)
+    got = _verdicts(judged(packed(docs, host=col(host), text=col(text)), limits), limits)
+    return unpacked(got, docs.columns, *MEASURES, "base_failed", "failed", "host_rate", "host_kept", "kept")
+
+
+def passing(docs: DataFrame, limits: RuleLimits = RuleLimits(), host: str = "source", text: str = "text") -> DataFrame:
+    """The documents that pass, with their own columns; of those that fail by themselves only the verdict is stored."""
+    rules = judged(packed(docs, host=col(host), text=col(text)), limits)
+    rules = rules.select(F.when(~F.col("base_failed"), F.col("row")).alias("row"), "host", "base_failed", "failed")
+    return unpacked(_verdicts(rules, limits).where("kept"), docs.columns)
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    narrow = durable(judged(docs).drop("text"), "rules")
-    out = with_verdicts(narrow, durable(host_verdicts(narrow), "hosts"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 9).alias("host_rate"))
+    out = _verdicts(judged(packed(docs, ["doc_id"], host=col("source"), text=col("text"))), RuleLimits())
+    return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 9).alias("host_rate"))
 
 
 ORACLE = r"""
