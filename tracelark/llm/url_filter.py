@@ -4,31 +4,33 @@ Labels of a host are split into words by a unigram Viterbi search (`cheappills`
 of host and path are scored by a multinomial naive Bayes model. The unigrams come from all documents and all urls and
 from the seed names below, each half of the probability: a name of a url counts as a word where the documents' and the
 seeds' words don't cover it whole. They are counted, and joined to the names, by Spark; nothing of them comes to the
-driver. Words of more than LONGEST letters are known as whole names only. Naive Bayes learns from the seed names: the
+driver. Letters are those of any script. Words of more than LONGEST letters are known as whole names only. Naive Bayes learns from labelled seed names,
+which are a parameter (UrlModel); the defaults are words of the usual block categories and of plain sites. The
 rules judge hosts and languages, not words, so the urls that they label are no examples for it.
 
 Defined results: a null url, or one without `://`, has an empty host and path, fits no rule and is allowed.
-A word that no seed has is no evidence, so a url of unknown words is allowed. Repeated rows are judged alike.
+A word that no seed has is no evidence, so a url of unknown words is allowed. Repeated rows are judged alike; a url of any length
+is judged whole. An empty table gives an empty one. Columns of the input named host, path, rule, score and verdict are replaced, all others are kept.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ._rows import col, packed, unpacked
 from ._store import durable
 
 #: Fixed values: (rule, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
 #: Seed names with their label: what the models learn from.
-BLOCKED = """casino win|casino bonus|online casino|best casino slots|free bets|bets online|sports betting|bet now|poker room|free poker chips|jackpot slots|lucky slots|
-cheap pills|pills online|cheap viagra|buy cialis|pharmacy discount|cheap meds|diet pills|weight loss pills|ads track|track ads|ad server|ads click|click tracker|pixel track|popup ads|banner ads|affiliate offers|
+BLOCKED = """casino bonus|online casino|best casino slots|bets online|sports betting|bet now|poker room|free poker chips|jackpot slots|lucky slots|
+pills online|cheap viagra|buy cialis|pharmacy discount|cheap meds|diet pills|weight loss pills|ad server|ads click|click tracker|pixel track|popup ads|banner ads|affiliate offers|
 adult video|adult cams|free porn|porn tube|xxx video|sex chat|live sex cams|hot singles|escort girls|nude pics|free download crack|warez crack|torrent crack keygen|serial keys|
 payday loans|fast cash loans|easy money now|make money fast|get rich quick|crypto giveaway|free bitcoin|win prize|free prize winner|claim gift card|replica watches|cheap replica bags|essay writing cheap|buy followers|buy likes|spam mail|phish login|malware download|hack tool|seo links cheap"""
 ALLOWED = """daily news|city library|school district|open source|public health|local weather|history museum|science journal|world report|music review|art gallery|garden guide|home cooking|travel notes|family recipes|
@@ -44,6 +46,7 @@ def _seeds(text: str) -> list[list[str]]:
 
 #: Letters of the longest word that is looked for within a name.
 LONGEST = 24
+NO_LETTERS = r"[^\p{L}]+"
 
 
 class UrlModel:
@@ -105,18 +108,6 @@ class UrlModel:
         seeds = {w: math.exp(-c) for w, c in self.cost.items() if w in name}
         return {w: -math.log((counts.get(w, 0) / max(1, total) + seeds.get(w, 0.0)) / 2) for w in counts.keys() | seeds.keys()}
 
-    def words(self, host: str, path: str) -> list[str]:
-        names = [x for x in re.split(r"[^a-z]+", host) if x]
-        names += [x for x in re.split(r"[^a-z]+", path.lower()) if x]
-        return [w for x in names for w in self.segment(x)]
-
-    def score(self, host: str, path: str) -> float:
-        """Log odds of block."""
-        return self.prior + sum(self.odds.get(w, 0.0) for w in self.words(host, path)) if host or path else self.prior
-
-    def verdict(self, host: str, path: str) -> str:
-        return "block" if self.score(host, path) > 0 else "allow"
-
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     u = F.coalesce(url, F.lit(""))
@@ -141,12 +132,12 @@ def _counted(words: Column, frame: DataFrame) -> DataFrame:
 
 
 def document_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """word (letters a to z alone, in lower case) and n over all documents."""
-    return _counted(F.split(F.lower(F.col(text)), r"[^\p{L}\p{M}]+"), docs).where(F.col("word").rlike("^[a-z]+$"))
+    """word (runs of letters, in lower case) and n over all documents."""
+    return _counted(F.split(F.lower(col(text)), NO_LETTERS), docs)
 
 
 def _names(host: Column, path: Column) -> Column:
-    return F.split(F.concat(host, F.lit("/"), F.lower(path)), "[^a-z]+")
+    return F.split(F.lower(F.concat(host, F.lit("/"), path)), NO_LETTERS)
 
 
 def _split(names: DataFrame, words: DataFrame, model: UrlModel) -> DataFrame:
@@ -177,19 +168,20 @@ def filter_urls(pages: DataFrame, column: str = "url", rules=RULES, model: UrlMo
     words: word and n, counted besides the names of the urls (see document_words).
     """
     model = model or UrlModel()
-    host, path = host_and_path(F.col(column))
-    names = durable(_counted(_names(host, path), pages), "url_names")
+    src = packed(pages, url=col(column))
+    names = durable(_counted(_names(*host_and_path(F.col("url"))), src), "url_names")
     words = pages.sparkSession.createDataFrame([], "word string, n long") if words is None else durable(words, "url_words")
     first = _split(names, words, model).select(F.explode(F.when(F.col("whole"), F.col("parts")).otherwise(F.array("word"))).alias("word"), "n")
     words = durable(words.unionByName(first).groupBy("word").agg(F.sum("n").alias("n")), "url_unigrams")
-    odds = durable(_split(names, words, model).where("odds != 0").select(F.col("word").alias("_word"), "odds"), "url_odds")
-    urls = pages.select(F.col(column).alias("_url")).distinct()
-    urls = urls.select("_url", F.explode(_names(*host_and_path(F.col("_url")))).alias("_word")).join(odds, "_word")
-    urls = urls.groupBy("_url").agg(F.round(F.sum("odds"), 9).alias("_odds"))
-    out = pages.withColumns({"_host": host, "_path": path}).join(urls, F.col(column) == F.col("_url"), "left")
-    out = out.withColumns({"_rule": rule_of(F.col("_host"), F.col("_path"), rules), "_score": F.lit(model.prior) + F.coalesce("_odds", F.lit(0.0))})
-    new = {"host": F.col("_host"), "path": F.col("_path"), "rule": F.col("_rule.rule"), "score": F.col("_score"), "verdict": F.coalesce(F.col("_rule.verdict"), F.when(F.col("_score") > 0, "block").otherwise("allow"))}
-    return out.withColumns(new).drop("_host", "_path", "_rule", "_score", "_url", "_odds")
+    odds = durable(_split(names, words, model).where("odds != 0").select("word", "odds"), "url_odds")
+    urls = src.select("url").distinct()
+    urls = urls.select("url", F.explode(_names(*host_and_path(F.col("url")))).alias("word")).join(odds, "word")
+    urls = urls.groupBy("url").agg(F.round(F.sum("odds"), 9).alias("odds")).withColumnRenamed("url", "u")
+    host, path = host_and_path(F.col("url"))
+    out = src.join(urls, F.col("url") == F.col("u"), "left").withColumns({"host": host, "path": path})
+    out = out.withColumns({"found": rule_of(F.col("host"), F.col("path"), rules), "score": F.lit(model.prior) + F.coalesce("odds", F.lit(0.0))})
+    out = out.withColumns({"rule": F.col("found.rule"), "verdict": F.coalesce(F.col("found.verdict"), F.when(F.col("score") > 0, "block").otherwise("allow"))})
+    return unpacked(out, pages.columns, "host", "path", "rule", "score", "verdict")
 
 
 def op3_url_filter(spark, sf_dir: str) -> DataFrame:
