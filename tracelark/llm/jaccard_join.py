@@ -393,8 +393,7 @@ def _family(t: pa.Table) -> list[tuple]:
                 sets.append(s)
                 keep.append(at)
             at += 1
-    side = block[keep]
-    f = Family(sets, side if len(np.unique(side)) > 1 else None).run()
+    f = Family(sets, block[keep] if t.column("cross")[0].as_py() else None).run()
     got = cls[keep]
     out = []
     for root in np.unique(f.label):
@@ -454,7 +453,7 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", re
     d = marked(src, "th", sieve(fam, "th")).where("sieve_hit").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "text")
     got = fam.join(d, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).groupBy("class", "comp", "blocks").agg(F.first("text").alias("text"))  # rows equal in id and text: one
     block = F.pmod(F.xxhash64("class", F.lit(9)), F.col("blocks")).cast("int")
-    got = got.select("comp", F.explode(_pairs_of(block, F.col("blocks"))).alias("pair"), "class", block.alias("block"), "text").repartition("comp", "pair").sortWithinPartitions("comp", "pair")
+    got = got.select("comp", F.explode(_pairs_of(block, F.col("blocks"))).alias("pair"), "class", block.alias("block"), "text", "blocks").withColumn("cross", F.col("pair") % (F.col("blocks") + 1) != 0).drop("blocks").repartition("comp", "pair").sortWithinPartitions("comp", "pair")
     found_schema = pa.schema([("class", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
     found_path = _store.store(got.mapInArrow(lambda it: _groups(it, 2, _family, found_schema), "class long, root long, links long"), "links")
     found = _store.reread(spark, found_path)
