@@ -1,4 +1,12 @@
-"""Documents to packed training sequences, in five stages."""
+"""Documents to packed training sequences, in five stages.
+
+All stages but the last return the columns of documents, whatever further columns there are and whatever their names. The last
+returns the pieces of the documents with their text and their place in the sequences.
+
+Defined results: null, blank and short texts fail the quality rules. Without labels nothing is rejected by the classifier. Of near
+duplicates and of repeated rows the one with the smallest id stays (ties: the least hash of the text), once. Rows with a null id are documents like others.
+Without benchmark items nothing is cut. A very long text is cut into pieces at the end, whole. No documents give an empty table.
+"""
 
 from __future__ import annotations
 
@@ -9,13 +17,13 @@ from tracelark.llm import _store, decontamination, jaccard_join, ordinal_quality
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, their own and their host's."""
-    return quality_rules.quality_rules(docs).where("kept").select(*docs.columns)
+    return quality_rules.passing(docs)
 
 
 def keep_by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier, trained on the labels, does not reject."""
     model = ordinal_quality.train(docs, ordinal_quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return ordinal_quality.rate(docs, model).where("kept").select(*docs.columns)
+    return ordinal_quality.good(docs, model)
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES over documents; each stage's rows are written to the shared folder and reread."""
+    """STAGES over documents; each stage's rows are written to the shared folder and reread, and what came before is removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    start = _store.mark()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = _store.durable(docs, name)
+            _store.sweep(start, but=docs)
     return docs
