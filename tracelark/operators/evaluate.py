@@ -62,12 +62,11 @@ def recall(links: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def threshold_sweep(links: DataFrame, gold: DataFrame, thresholds: list[float] | None = None) -> DataFrame:
-    """prf of the links above each threshold (strictly), in one pass."""
-    ts = links.sparkSession.createDataFrame([(float(t),) for t in (THRESHOLDS if thresholds is None else thresholds)], "threshold double")
-    got = labelled(links, gold).where(F.col("score") > min(THRESHOLDS if thresholds is None else thresholds)).select("score", "hit")
-    n = got.join(F.broadcast(ts), F.col("score") > F.col("threshold")).groupBy("threshold").agg(F.count("*").alias("amount"), F.sum("hit").alias("tp"))
-    n = ts.join(n, "threshold", "left").select("threshold", F.coalesce("amount", F.lit(0)).alias("amount"), F.coalesce("tp", F.lit(0)).alias("tp"))
-    return _rates(n, gold)
+    """prf of the links above each threshold (strictly): one pass, one row of sums."""
+    ts = [float(t) for t in (THRESHOLDS if thresholds is None else thresholds)]
+    over = lambda t, x: F.coalesce(F.sum(F.when(F.col("score") > t, x)), F.lit(0)).cast("long")
+    sums = labelled(links, gold).agg(F.array(*[F.struct(F.lit(t).alias("threshold"), over(t, F.lit(1)).alias("amount"), over(t, F.col("hit")).alias("tp")) for t in ts]).alias("x"))
+    return _rates(sums.select(F.explode("x").alias("y")).select("y.*"), gold)
 
 
 def below_evaluation(links: DataFrame, gold: DataFrame, threshold: float) -> DataFrame:
@@ -100,6 +99,21 @@ def mean_average_precision(links: DataFrame, gold: DataFrame) -> DataFrame:
     return average_precision(links, gold).agg(F.coalesce(F.avg("ap"), F.lit(0.0)).alias("map"))
 
 
+#: Slices of the scores for running sums; each slice is a window of its own, and only the slices' totals meet in one task.
+SLICES = 4096
+
+
+def _before(by: DataFrame, key: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
+    """by (one row for each value of key) with running sums over the rows before each: {column: name of its sum}."""
+    slice_ = F.floor(F.least(F.greatest(F.col(key), F.lit(0.0)), F.lit(1.0)) * SLICES).cast("int")
+    by = by.withColumn("_s", -slice_ if descending else slice_)
+    every = W.orderBy("_s").rowsBetween(W.unboundedPreceding, -1)  # SLICES + 1 rows at most
+    totals = by.groupBy("_s").agg(*[F.sum(c).alias(c) for c in sums]).select(F.col("_s").alias("_t"), *[F.coalesce(F.sum(c).over(every), F.lit(0)).alias(f"_{n}") for c, n in sums.items()])
+    own = W.partitionBy("_s").orderBy(F.desc(key) if descending else F.asc(key)).rowsBetween(W.unboundedPreceding, -1)
+    out = by.withColumns({n: F.coalesce(F.sum(c).over(own), F.lit(0)) for c, n in sums.items()}).join(F.broadcast(totals), F.col("_s") == F.col("_t"))
+    return out.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums.values()}).drop("_s", "_t", *[f"_{n}" for n in sums.values()])
+
+
 def _hits(links: DataFrame, gold: DataFrame) -> DataFrame:
     """The gold links that were retrieved, with their rank over all links and number so far.
 
@@ -107,9 +121,7 @@ def _hits(links: DataFrame, gold: DataFrame) -> DataFrame:
     scores; the hits of equal score are told apart by their pair.
     """
     lab = labelled(links, gold)
-    by = lab.groupBy("score").agg(F.count("*").alias("n"), F.sum("hit").alias("h"))
-    w = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, -1)
-    before = by.select("score", "n", "h", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n0"), F.coalesce(F.sum("h").over(w), F.lit(0)).alias("h0"))
+    before = _before(lab.groupBy("score").agg(F.count("*").alias("n"), F.sum("hit").alias("h")), "score", {"n": "n0", "h": "h0"}, True)
     tied = W.partitionBy("score").orderBy("source_id", "target_id")
     hits = lab.join(before.where("h > 0").select("score", "n0", "h0"), "score")
     hits = hits.withColumns({"rank": F.col("n0") + F.row_number().over(tied), "cum": F.col("h0") + F.sum("hit").over(tied.rowsBetween(W.unboundedPreceding, 0))})
@@ -161,8 +173,7 @@ def cliffs_delta(a: DataFrame, b: DataFrame) -> DataFrame:
     Ranks by value replace the pairs: with the counts of each distinct value, a running sum tells how many of b lie below and above.
     """
     by = a.select("x", F.lit(1).alias("na"), F.lit(0).alias("nb")).unionByName(b.select("x", F.lit(0).alias("na"), F.lit(1).alias("nb"))).groupBy("x").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
-    w = W.orderBy("x").rowsBetween(W.unboundedPreceding, -1)
-    r = by.withColumn("low", F.coalesce(F.sum("nb").over(w), F.lit(0)))
+    r = _before(by, "x", {"nb": "low"})
     t = r.agg(F.sum("na").alias("n"), F.sum("nb").alias("m"), F.sum(F.col("na") * F.col("low")).alias("lt"), F.sum(F.col("na") * F.col("nb")).alias("eq"))
     n, m, lt, eq = (F.col(c) for c in ("n", "m", "lt", "eq"))
     return t.select(F.when((n > 0) & (m > 0), (lt - (n * m - lt - eq)) / (n * m)).otherwise(F.lit(0.0)).alias("delta"))

@@ -6,6 +6,7 @@ without a common term, which is what an evaluation of all links needs; leave it
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
@@ -13,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .postings import postings, union_weights
+from .settle import settled
 
 #: Documents and postings up to which the decomposition runs on the driver.
 LOCAL_DOCS, LOCAL_POSTINGS = 3_000, 3_000_000
@@ -72,7 +74,7 @@ def lsi(src: DataFrame, tgt: DataFrame, dense: bool = True, k: int | None = None
     """Cosines of TF-IDF whose cells are replaced by their rank-k reconstruction where that is positive; k = min(|S|, |T|, 100) at most."""
     spark = src.sparkSession
     w = union_weights(postings(src, total=True), postings(tgt, total=True), _ids(src), _ids(tgt)).select("role", "doc_id", "term", "weight")
-    w = w.cache()
+    w = settled(w)
     sizes = src.agg(F.count("*").alias("s")).crossJoin(tgt.agg(F.count("*").alias("t"))).crossJoin(w.agg(F.count("*").alias("v"))).first()
     k = min(x for x in (sizes["s"], sizes["t"], 100, k) if x is not None)
     if not k or not sizes["v"]:
@@ -81,7 +83,6 @@ def lsi(src: DataFrame, tgt: DataFrame, dense: bool = True, k: int | None = None
         links = _lsi_local(spark, w.toPandas(), k)
     else:
         links = _lsi_distributed(w, k)
-    w.unpersist()
     return filled(links, src, tgt) if dense else links.where("score > 0")
 
 
@@ -133,15 +134,17 @@ def _lsi_distributed(w: DataFrame, k: int) -> DataFrame:
     spark = w.sparkSession
     terms = w.select("term").distinct().rdd.map(lambda r: r[0]).zipWithIndex().toDF(["term", "i"])
     size = terms.count()
-    rows = w.join(terms, "term").groupBy("role", "doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "weight"))).alias("x")).cache()
+    rows = w.join(terms, "term").groupBy("role", "doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "weight"))).alias("x"))
+    rows = settled(rows)
     n = size
     mat = RowMatrix(rows.select("x").rdd.map(lambda r: SparseVector(n, [int(y[0]) for y in r[0]], [float(y[1]) for y in r[0]])), numCols=size)
     v = mat.computeSVD(k, computeU=False).V.toArray()  # terms x k
-    shared = spark.sparkContext.broadcast(v)
+    shared = spark.sparkContext.broadcast(v)  # the driver holds it already: terms x k numbers, k is 100 at most
 
-    def rebuilt(x) -> np.ndarray:
-        a = np.zeros(n)
-        a[[int(y["i"]) for y in x]] = [float(y["weight"]) for y in x]
+    def rebuilt(xs) -> np.ndarray:
+        a = np.zeros((len(xs), n))
+        for row, x in zip(a, xs):
+            row[[int(y["i"]) for y in x]] = [float(y["weight"]) for y in x]
         a_k = (a @ shared.value) @ shared.value.T
         return np.where(a_k > 1e-12, a_k, a)
 
@@ -154,19 +157,34 @@ def _lsi_distributed(w: DataFrame, k: int) -> DataFrame:
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["role"] == "s"], pdf[pdf["role"] == "t"]
-        score = _cosines(np.stack([rebuilt(x) for x in a["x"]]), np.stack([rebuilt(x) for x in b["x"]])) if len(a) and len(b) else np.zeros((0, 0))
+        score = _cosines(rebuilt(a["x"].tolist()), rebuilt(b["x"].tolist())) if len(a) and len(b) else np.zeros((0, 0))
         return pd.DataFrame({"source_id": np.repeat(a["id"].to_numpy(), len(b)), "target_id": np.tile(b["id"].to_numpy(), len(a)), "score": score.ravel()})
 
     return left.unionByName(right).groupBy("sb", "tb").applyInPandas(block, "source_id string, target_id string, score double")
 
 
+def _empties(src: DataFrame, tgt: DataFrame) -> DataFrame:
+    """The pairs with an empty document that jsd scores: 1 if both are empty, else a half. Only rows with an empty side meet."""
+    empty = ~F.coalesce(F.col("ir_text"), F.lit("")).rlike(r"\S")
+    s, t = (d.select(F.col("artifact_id").alias(n), empty.alias(e)) for d, n, e in ((src, "source_id", "es"), (tgt, "target_id", "et")))
+    one = s.where("es").join(t, F.lit(True))
+    two = s.where("not es").join(t.where("et"), F.lit(True))
+    return one.unionByName(two).select("source_id", "target_id", F.when(F.col("es") & F.col("et"), 1.0).otherwise(0.5).alias("score"))
+
+
 def union(src: DataFrame, tgt: DataFrame, dense: bool = True) -> DataFrame:
-    """Mean of the three models; scores of zero are left out."""
-    parts = [m(src, tgt).withColumn("score", F.col("score") / 3.0) for m in (vsm, lsi, jsd)]
-    links = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Mean of the three models; scores of zero are left out, with dense or without: it only says whether the grid is made on the way."""
+    parts = [m(src, tgt, dense) for m in (vsm, lsi, jsd)] + ([] if dense else [_empties(src, tgt)])
+    parts = [p.withColumn("score", F.col("score") / 3.0) for p in parts]
+    links = reduce(lambda x, y: x.unionByName(y), parts)
     return links.groupBy("source_id", "target_id").agg(F.sum("score").alias("score")).where("score > 0")
 
 
+def weights(src: DataFrame, tgt: DataFrame) -> DataFrame:
+    """The weighted postings that vsm and lsi work on: role, doc_id, term, n, total, weight."""
+    return union_weights(postings(src, total=True), postings(tgt, total=True), _ids(src), _ids(tgt))
+
+
 MODELS: dict[str, Model] = {"VSM": vsm, "LSI": lsi, "JSD": jsd, "UNION": union}
 
 

@@ -1,13 +1,30 @@
-"""Cuts of lineage that outlive an executor."""
+"""Cuts of lineage that outlive an executor, and files that are written to be read again."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir. Where that is unset, a local master gets one below /tmp/checkpoints; a cluster gets an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "/tmp/checkpoints/tracelark"
+    return base.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once and written to the shared folder named in spark.checkpoint.dir (where that is unset, below /tmp/checkpoints)."""
+    """df computed once and written to the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tracelark")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -28,13 +28,19 @@ class Config:
     projects: tuple[Project, ...]
     do_evaluate: bool = True
     ir_method: str = "VSM"
-    run_triad: bool = False
+    #: Whether to run the full pipeline; its settings follow.
+    full: bool = False
+    #: share, top_k, max_repeat, max_pairs, min_agree of the enrichment; values that are no number give the default.
+    enrichment: dict = field(default_factory=dict)
+    strategy: str = "avg"
+    guard: bool = False
+    transitivity: bool = True
 
     @staticmethod
     def of(raw: dict) -> Config:
         part = lambda x: None if x is None else Artifacts(x["path"], x.get("type", "TEXTUAL"))
         projects = tuple(Project(p["name"], part(p["source"]), part(p["target"]), p.get("goldStandardPath"), part(p.get("intermediate")), p.get("pairs", {})) for p in raw.get("projects", ()))
-        return Config(projects, bool(raw.get("doEvaluate", True)), raw.get("irMethod", "VSM"), bool(raw.get("runTriad", False)))
+        return Config(projects, bool(raw.get("doEvaluate", True)), raw.get("irMethod", "VSM"), bool(raw.get("runTriad", False)), dict(raw.get("enrichment", {})), raw.get("fusionStrategy", "avg"), bool(raw.get("fusionGuard", False)), bool(raw.get("transitivity", True)))
 
     @staticmethod
     def load(path: str) -> Config:

@@ -15,8 +15,22 @@ def link_matrix(links: DataFrame, targets: list[str] | None = None) -> DataFrame
     return p.select("Source Artifact", *[score_text(F.col(f"`{c}`")).alias(c) for c in cols]).orderBy("Source Artifact")
 
 
+def link_rows(links: DataFrame, targets: list[str]) -> DataFrame:
+    """source_id and its scores as text in the order of targets. The grid is made row by row, so targets may be many."""
+    got = links.groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.struct("target_id", "score"))).alias("m"))
+    return got.select("source_id", F.transform(F.lit(targets), lambda t: score_text(F.coalesce(F.try_element_at("m", t), F.lit(0.0)))).alias("scores"))
+
+
+def _quoted(c):
+    return F.when(c.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+
+
 def write_link_matrix(links: DataFrame, path: str) -> None:
-    link_matrix(links).coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """One CSV file: the header `Source Artifact` and the sorted targets, then the sorted sources. Its rows are made in parallel; only the last step is one task."""
+    targets = sorted(r[0] for r in links.select("target_id").distinct().collect())  # they are the file's first line
+    lines = link_rows(links, targets).select(F.col("source_id").alias("k"), F.concat_ws(",", F.array(_quoted(F.col("source_id"))), "scores").alias("value"))
+    head = links.sparkSession.createDataFrame([(None, ",".join('"' + t.replace('"', '""') + '"' if any(c in t for c in '",\r\n') else t for t in ["Source Artifact", *targets]))], "k string, value string")
+    lines.unionByName(head).repartition(1).sortWithinPartitions(F.asc_nulls_first("k")).select("value").write.mode("overwrite").text(path)
 
 
 def write_pairs(pairs: DataFrame, path: str) -> None:
