@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
 from ..operators import enrich as E, evaluate as V, links as L, models as M, paths as P, postings as T
+from ..operators.settle import settled
 from ..sources import writers
 
 DIGITS = 9
@@ -40,8 +41,14 @@ def rounded(links: DataFrame) -> DataFrame:
     return links.withColumn("score", F.round("score", DIGITS))
 
 
-def _post(spark, sf, role="t"):
-    return T.postings(corpus(spark, sf, role))
+def _post(spark, sf, role="t", total=False):
+    return T.postings(corpus(spark, sf, role), total=total)
+
+
+def _evaluated(spark, sf, model, dense):
+    """Links and gold from one normalisation of the texts."""
+    s, t = (settled(corpus(spark, sf, role, tokens=True)) for role in ("s", "t"))
+    return rounded(model(s, t, dense)), _gold(s, t)
 
 
 def vsm_links(spark, sf, a="s", b="t", dense=True):
@@ -54,12 +61,15 @@ def jsd_links(spark, sf, a="s", b="t", dense=True):
 
 def gold(spark, sf) -> DataFrame:
     """Items and documents that share a window of eight tokens."""
-    def windows(role, name):
-        d = corpus(spark, sf, role, tokens=True)
+    return _gold(corpus(spark, sf, "s", tokens=True), corpus(spark, sf, "t", tokens=True))
+
+
+def _gold(s: DataFrame, t: DataFrame) -> DataFrame:
+    def windows(d, name):
         at = F.when(F.size("tokens") >= 8, F.sequence(F.lit(1), F.size("tokens") - 7)).otherwise(F.array().cast("array<int>"))
         return d.select(F.col("artifact_id").alias(name), F.explode(F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice("tokens", i, 8), " ")))).alias("w"))
 
-    return windows("s", "source_id").join(windows("t", "target_id"), "w").select("source_id", "target_id").distinct()
+    return windows(s, "source_id").join(windows(t, "target_id"), "w").select("source_id", "target_id").distinct()
 
 
 def _votes(spark, sf, role="s"):
@@ -72,16 +82,14 @@ def _plain_text(docs):
     return docs.withColumn("ir_text", X.process_text(F.col("raw_text"), stemmed=False))
 
 
-def _enriched_both(spark, sf):
-    """Sources and targets enriched; _enriched is the half of it that has SQL."""
+def _enriched(spark, sf):
+    """Sources and targets enriched from the intermediates."""
     s, t = corpus(spark, sf, "s"), corpus(spark, sf, "t")
-    return E.enriched_links(s, t, _votes(spark, sf), _votes(spark, sf, "t"), lambda a, b: rounded(M.vsm(a, b, False)), _plain_text)
+    return E.enriched_links(s, t, _votes(spark, sf), _votes(spark, sf, "t"), sparse_vsm, _plain_text)
 
 
-def _enriched(spark, sf):
-    s, t = corpus(spark, sf, "s"), corpus(spark, sf, "t")
-    s_plus = _plain_text(E.extended_text(s, _votes(spark, sf)))
-    return L.average(rounded(M.vsm(s_plus, t, False)), rounded(M.vsm(s, t, False)))
+def sparse_vsm(a, b):
+    return rounded(M.vsm(a, b, False))
 
 
 def _hops(spark, sf):
@@ -123,7 +131,7 @@ QUERIES = {
     "term_counts": lambda s, d: _post(s, d),
     "document_frequency": lambda s, d: T.document_frequency(_post(s, d)),
     "idf": lambda s, d: _r6(T.idf(_post(s, d), corpus(s, d, "t").agg(F.count("*").alias("n_docs"))), "idf"),
-    "tfidf": lambda s, d: _r6(T.tfidf(_post(s, d), corpus(s, d, "t").agg(F.count("*").alias("n_docs"))), "weight").select("doc_id", "term", "weight"),
+    "tfidf": lambda s, d: _r6(T.tfidf(_post(s, d, total=True), corpus(s, d, "t").agg(F.count("*").alias("n_docs"))), "weight").select("doc_id", "term", "weight"),
     "vsm_links": lambda s, d: vsm_links(s, d),
     "vsm_topk": lambda s, d: L.top_k(vsm_links(s, d, dense=False), 5),
     "vsm_above": lambda s, d: L.above(vsm_links(s, d, dense=False), 0.1),
@@ -143,18 +151,17 @@ QUERIES = {
     "neighbour_votes": lambda s, d: _votes(s, d),
     "extended_text": lambda s, d: E.extended_text(corpus(s, d, "s"), _votes(s, d)).select("artifact_id", "raw_text"),
     "enriched_links": lambda s, d: _enriched(s, d),
-    "enriched_links_both": lambda s, d: _enriched_both(s, d),
     "paths_outer": lambda s, d: P.outer_paths(*_hops(s, d)[:2]),
     "paths_inner_src": lambda s, d: P.inner_source_paths(_hops(s, d)[2], *_hops(s, d)[:2]),
     "paths_inner_mid": lambda s, d: P.inner_intermediate_paths(_hops(s, d)[0], _hops(s, d)[3], _hops(s, d)[1]),
     "transitive_links": lambda s, d: P.transitive(vsm_links(s, d, dense=False), *_hops(s, d)),
     "gold_links": gold,
-    "prf": lambda s, d: _r6(V.prf(vsm_links(s, d), gold(s, d)), "precision", "recall", "f1"),
-    "prf_sweep": lambda s, d: _r6(V.threshold_sweep(vsm_links(s, d, dense=False), gold(s, d)), "threshold", "precision", "recall", "f1"),
-    "prf_topk": lambda s, d: _r6(V.top_k_sweep(vsm_links(s, d), gold(s, d)), "precision", "recall", "f1"),
-    "map": lambda s, d: _r6(V.mean_average_precision(vsm_links(s, d), gold(s, d)), "map"),
-    "pr_curve20": lambda s, d: _r6(V.pr_curve(vsm_links(s, d, dense=False), gold(s, d)), "precision"),
-    "f11": lambda s, d: _r6(V.f_at_11(vsm_links(s, d, dense=False), gold(s, d)), "precision", "f1"),
+    "prf": lambda s, d: _r6(V.prf(*_evaluated(s, d, M.vsm, True)), "precision", "recall", "f1"),
+    "prf_sweep": lambda s, d: _r6(V.threshold_sweep(*_evaluated(s, d, M.vsm, False)), "threshold", "precision", "recall", "f1"),
+    "prf_topk": lambda s, d: _r6(V.top_k_sweep(*_evaluated(s, d, M.vsm, True)), "precision", "recall", "f1"),
+    "map": lambda s, d: _r6(V.mean_average_precision(*_evaluated(s, d, M.vsm, True)), "map"),
+    "pr_curve20": lambda s, d: _r6(V.pr_curve(*_evaluated(s, d, M.vsm, False)), "precision"),
+    "f11": lambda s, d: _r6(V.f_at_11(*_evaluated(s, d, M.vsm, False)), "precision", "f1"),
     "wilcoxon": _wilcoxon,
     "cliffs_delta": _cliffs,
     "link_matrix": _matrix,
@@ -182,8 +189,8 @@ flat AS (SELECT role, id, unnest(w) AS term FROM tok),
 post AS (SELECT role, id, term, count(*) AS n FROM flat GROUP BY ALL)"""
 
 
-def _vsm(name: str, a: str, b: str, dense: bool = False, post_a: str = "post") -> str:
-    pair = f"""{name}_p AS (SELECT 's' AS side, id, term, n FROM {post_a} WHERE role = '{a}' UNION ALL SELECT 't', id, term, n FROM post WHERE role = '{b}'),
+def _vsm(name: str, a: str, b: str, dense: bool = False, post_a: str = "post", post_b: str = "post") -> str:
+    pair = f"""{name}_p AS (SELECT 's' AS side, id, term, n FROM {post_a} WHERE role = '{a}' UNION ALL SELECT 't', id, term, n FROM {post_b} WHERE role = '{b}'),
 {name}_n AS (SELECT count(*) AS n FROM (SELECT id FROM tok WHERE role = '{a}' UNION ALL SELECT id FROM tok WHERE role = '{b}')),
 {name}_w AS (SELECT side, id, term, n / sum(n) OVER (PARTITION BY side, id) * ln((SELECT n FROM {name}_n) / count(*) OVER (PARTITION BY term)) AS w FROM {name}_p),
 {name}_l AS (SELECT side, id, sqrt(sum(w * w)) AS l FROM {name}_w GROUP BY ALL),
@@ -215,11 +222,30 @@ def _top(name: str, src: str, k: int, relative: bool = False) -> str:
 _GOLD = """g8 AS (SELECT DISTINCT role, id, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT role, id, w, unnest(range(1, len(w) - 6)) AS i FROM tok)),
 gold AS (SELECT DISTINCT x.id AS source_id, y.id AS target_id FROM g8 x JOIN g8 y USING (g) WHERE x.role = 's' AND y.role = 't'),
 rel AS (SELECT count(*) AS relevant FROM gold)"""
-_PAIRS = """bi AS (SELECT id AS artifact_id, t1 || ' ' || t2 AS biterm, count(*) AS freq FROM (SELECT id, unnest(w[1:len(w) - 1]) AS t1, unnest(w[2:]) AS t2 FROM tok WHERE role = 'm' AND len(w) >= 2) GROUP BY ALL)"""
-_VOTES = f"""{_PAIRS},
-near AS (SELECT source_id, target_id, score / best AS share FROM (SELECT *, max(score) OVER (PARTITION BY source_id) AS best FROM sm) WHERE best > 0 AND score >= 0.5 * best QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY score DESC, target_id) <= 3),
-votes AS (SELECT source_id AS artifact_id, biterm, round(sum(share * ln(1 + freq)), {DIGITS}) AS vote FROM near JOIN bi ON artifact_id = target_id GROUP BY ALL),
-sel AS (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY vote DESC, biterm) AS rk, least(CAST(round(vote) AS INT), 4) AS reps FROM votes WHERE vote >= 2.0 - 1e-9 QUALIFY rk <= 24)"""
+def _pairs(name: str, role: str) -> str:
+    return f"""{name} AS (SELECT id AS artifact_id, t1 || ' ' || t2 AS biterm, count(*) AS freq FROM (SELECT id, unnest(w[1:len(w) - 1]) AS t1, unnest(w[2:]) AS t2 FROM tok WHERE role = '{role}' AND len(w) >= 2) GROUP BY ALL)"""
+
+
+def _voting(links: str, pairs: str, p: str = "", share: float = 0.5, k: int = 3) -> str:
+    """{p}votes and {p}sel of the sources of links."""
+    return f"""{p}near AS (SELECT source_id, target_id, score / best AS share FROM (SELECT *, max(score) OVER (PARTITION BY source_id) AS best FROM {links}) WHERE best > 0 AND score >= {share} * best QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY score DESC, target_id) <= {k}),
+{p}votes AS (SELECT source_id AS artifact_id, biterm, round(sum(share * ln(1 + freq)), {DIGITS}) AS vote FROM {p}near JOIN {pairs} ON artifact_id = target_id GROUP BY ALL),
+{p}sel AS (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY vote DESC, biterm) AS rk, least(CAST(round(vote) AS INT), 4) AS reps FROM {p}votes WHERE vote >= 2.0 - 1e-9 QUALIFY rk <= 24)"""
+
+
+def _plus(name: str, role: str, sel: str) -> str:
+    """Postings of a role with the selected pairs appended."""
+    return f"{name} AS (SELECT role, id, term, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM post WHERE role = '{role}' UNION ALL SELECT '{role}', artifact_id, unnest(string_split(biterm, ' ')), reps FROM {sel}) GROUP BY ALL)"
+
+
+def _mean(a: str, b: str) -> str:
+    return f"SELECT * FROM (SELECT source_id, target_id, (coalesce({a}.score, 0) + coalesce({b}.score, 0)) / 2.0 AS score FROM {a} FULL JOIN {b} USING (source_id, target_id)) WHERE score > 0"
+
+
+_PAIRS = _pairs("bi", "m")
+_VOTES = f"{_PAIRS},\n{_voting('sm', 'bi')}"
+_THREE = f"""{_VOTES},\n{_vsm('tm', 't', 'm')},\n{_voting('tm', 'bi', 't_')},\n{_plus('splus', 's', 'sel')},\n{_plus('tplus', 't', 't_sel')},
+{_vsm('e1', 's', 't', post_a='splus')},\n{_vsm('e2', 's', 't', post_b='tplus')},\nenr AS ({_mean('e1', 'e2')})"""
 _RATES = "CASE WHEN amount > 0 THEN tp / amount ELSE 1.0 END AS p, CASE WHEN relevant > 0 THEN tp / relevant ELSE 0.0 END AS r"
 _OUT = "amount, tp, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1"
 _ORDER = "ORDER BY score DESC, source_id, target_id"
@@ -273,11 +299,10 @@ ORACLES = {
     "biterm_freq": f"{BASE},\n{_PAIRS}\nSELECT * FROM bi",
     "neighbour_votes": f"{BASE},\n{_vsm('sm', 's', 'm')},\n{_VOTES}\nSELECT artifact_id, biterm, vote FROM votes",
     "extended_text": f"{BASE},\n{_vsm('sm', 's', 'm')},\n{_VOTES}\nSELECT id AS artifact_id, CASE WHEN more IS NULL THEN text ELSE coalesce(text, '') || chr(10) || more END AS raw_text FROM tok LEFT JOIN (SELECT artifact_id, string_agg(repeat(biterm || ' ', reps), '' ORDER BY rk) AS more FROM sel GROUP BY ALL) ON id = artifact_id WHERE role = 's'",
-    "enriched_links": f"""{BASE},\n{_vsm('sm', 's', 'm')},\n{_VOTES},
-plus AS (SELECT role, id, term, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM post WHERE role = 's' UNION ALL SELECT 's', artifact_id, unnest(string_split(biterm, ' ')), reps FROM sel) GROUP BY ALL),
-{_vsm('e', 's', 't', post_a='plus')},\n{_VS}\nSELECT * FROM (SELECT source_id, target_id, (coalesce(e.score, 0) + coalesce(v.score, 0)) / 2.0 AS score FROM e FULL JOIN v USING (source_id, target_id)) WHERE score > 0""",
+    "enriched_links": f"{BASE},\n{_vsm('sm', 's', 'm')},\n{_THREE}\n{_R} enr",
     **{f"paths_{q}": f"{BASE},\n{_HOPS},\n{_CUT}\n{_R} ({_PATHS[k]})" for k, q in (("outer", "outer"), ("src", "inner_src"), ("mid", "inner_mid"))},
     "transitive_links": f"{BASE},\n{_HOPS},\n{_CUT},\n{_VS},\nb AS (SELECT source_id, target_id, max(score) AS path FROM ({' UNION ALL '.join(_PATHS.values())}) GROUP BY ALL HAVING max(score) > 0)\nSELECT source_id, target_id, greatest(coalesce(score, 0), coalesce(path, 0)) AS score FROM v FULL JOIN b USING (source_id, target_id)",
+    "link_matrix": f"{BASE},\n{_vsm('ss', 's', 's', True)}\nSELECT * FROM (PIVOT (SELECT source_id AS \"Source Artifact\", target_id, printf('%.4f', round(score, 4)) AS score FROM ss) ON target_id USING first(score) GROUP BY \"Source Artifact\")",
     "gold_links": f"{BASE},\n{_GOLD}\nSELECT * FROM gold",
     "prf": f"{BASE},\n{_VD},\n{_GOLD}\nSELECT {_OUT} FROM (SELECT *, {_RATES} FROM (SELECT count(*) AS amount, count(g.source_id) AS tp FROM v LEFT JOIN gold g USING (source_id, target_id)), rel)",
     "prf_sweep": f"""{BASE},\n{_VS},\n{_GOLD},
