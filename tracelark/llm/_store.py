@@ -50,15 +50,15 @@ def drop(spark: SparkSession, path: str) -> None:
     _written[:] = [x for x in _written if x[1] != path]
 
 
-def mark() -> int:
-    """How many tables are stored now; see sweep()."""
-    return len(_written)
+def since(n: int = 0) -> list[str]:
+    """The paths stored after the first n that are still there; since() tells how many there are now."""
+    return [path for _, path in _written[n:]]
 
 
-def sweep(since: int = 0, but: DataFrame | None = None) -> None:
-    """Delete the tables stored after mark() said `since`, except those that `but` reads."""
-    needed = set() if but is None else {f.rsplit("/", 2)[-2] for f in but.inputFiles()}
-    for spark, path in _written[since:]:
+def sweep(spark: SparkSession, paths: list[str], but: DataFrame) -> None:
+    """Delete these tables, except those that `but` reads."""
+    needed = {f.rsplit("/", 2)[-2] for f in but.inputFiles()} if paths else set()
+    for path in paths:
         if path.rsplit("/", 1)[-1] not in needed:
             drop(spark, path)
 

@@ -2,17 +2,18 @@
 
 A word's 64-bit value is a polynomial of its bytes modulo 2**64, so a prefix sum gives all of them in
 a few passes; the value is then mixed. Texts are taken in slices of about SLICE bytes, so memory
-does not follow the batch (one text is never cut).
+does not follow the batch (one text is never cut), and what a batch has freed is given back to the system, as a worker outlives its task.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 _M = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1
 _pow = np.ones(1, np.uint64)
@@ -110,6 +111,20 @@ def slices(col: pa.Array, kind: np.ndarray) -> Iterator[Words]:
         j = max(i + 1, int(np.searchsorted(off, off[i] + SLICE, "right")) - 1)
         yield Words(data, off[i:j + 1], i, kind)
         i = j
+    give_back()
+
+
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def give_back() -> None:
+    """Return freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def rolled(w: Words, size: int, whole: bool = False) -> np.ndarray:

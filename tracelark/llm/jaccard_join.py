@@ -41,7 +41,7 @@ from . import _store
 from ._graph import components
 from ._rows import col, packed, unpacked
 from ._sieve import marked, sieve
-from ._words import SPACED, mix, rolled, shingles, slices
+from ._words import SPACED, give_back, mix, rolled, shingles, slices
 
 SIZE = 5
 #: A region of more classes, or a family of more shingles, is dealt out as pairs of blocks.
@@ -191,6 +191,7 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int, work: Callable[[pa.T
         flush()
     if out:
         yield made()
+    give_back()
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._rows import col
-from ._words import SPACED, slices
+from ._words import SPACED, give_back, slices
 
 LENGTHS = (256, 512, 1024, 2048)
-CHUNK, CHUNK_BYTES = 20_000, 48_000_000
+CHUNK, CHUNK_BYTES = 20_000, 32_000_000
 #: What a sequence costs besides its own length, in tokens, and the length at which attention costs as much as all else.
 OVERHEAD, ATTENTION = 8, 4096
 
@@ -162,6 +162,7 @@ def pack_documents(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, chunk: i
                     yield from flush()
         if held:
             yield from flush()
+        give_back()
 
     return src.mapInArrow(work, _SCHEMA)
 
