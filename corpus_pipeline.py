@@ -10,32 +10,57 @@ Without benchmark items nothing is cut. A very long text is cut into pieces at t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelark.llm import _store, decontamination, jaccard_join, ordinal_quality, packing, quality_rules
 
 
+_left: list[str] = []
+
+
+def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first removes what the stages before it have stored for themselves: their rows are written by now, and are its docs."""
+
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _store.sweep(spark, _left, docs)
+        there = set(_store.since())
+        out = work(spark, docs, sf_dir)
+        _left[:] = [p for p in _store.since() if p not in there or p in _left]
+        return out
+
+    return run_stage
+
+
+@_stage
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, their own and their host's."""
     return quality_rules.passing(docs)
 
 
+@_stage
 def keep_by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier, trained on the labels, does not reject."""
     model = ordinal_quality.train(docs, ordinal_quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return ordinal_quality.good(docs, model)
 
 
+@_stage
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest id."""
     return jaccard_join.one_of_each(docs)
 
 
+@_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of the benchmark; those that consist of such passages go."""
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in their sequences."""
     return packing.pack_documents(docs)
@@ -53,12 +78,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES over documents; each stage's rows are written to the shared folder and reread, and what came before is removed."""
+    """STAGES over documents; each stage's rows are written to the shared folder and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    start = _store.mark()
+    _left.clear()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = _store.durable(docs, name)
-            _store.sweep(start, but=docs)
+            _left.extend(_store.since()[-1:])
+    _left.clear()  # what is left is read by the result
     return docs
