@@ -9,7 +9,7 @@ from pyspark.sql import Column, functions as F, types as T
 
 from .stemmer import stem
 
-#: The default stop words: function words of English. Give another list where results must follow one.
+#: The default stop words: function words of English, written down for this engine from general grammar. Give another list where results must follow one.
 STOPWORDS = tuple("""a about above after again against all also although always am among an and any are as at be became because become been before being below between both but by can cannot could did do does doing done down
 due during each either else ever every few for from further get had has have having he hence her here hers herself him himself his how however i if in indeed into is it its itself just may me might more most much must my myself
 neither never no nor not now of off often on once only onto or other others our ours out over own per perhaps please rather same several shall she should since so some such than that the their theirs them themselves then there
@@ -27,9 +27,12 @@ def split_acronyms(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"(?<=\p{Lu})s(?=$|\s|\p{Lu})", " s "), " {2,}", " "))
 
 
+#: Fixed value: where a name is cut; results must follow it.
+CAMEL = "(?<=[A-Z])(?=[A-Z][a-z])|(?<=[^A-Z])(?=[A-Z])|(?<=[A-Za-z])(?=[^A-Za-z])"
+
+
 def split_camel(c: Column) -> Column:
-    bounds = "(?<=[A-Z])(?=[A-Z][a-z])|(?<=[^A-Z])(?=[A-Z])|(?<=[A-Za-z])(?=[^A-Za-z])"
-    return F.trim(F.regexp_replace(F.regexp_replace(split_acronyms(c), bounds, " "), " {2,}", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(split_acronyms(c), CAMEL, " "), " {2,}", " "))
 
 
 def split_snake(c: Column) -> Column:
