@@ -243,6 +243,43 @@ def test_language_model_does_not_depend_on_partitions(spark):
     assert sum(one) > sum(two) + 0.5 * len(two)
 
 
+def test_every_position_is_a_target_with_its_whole_window(monkeypatch):
+    import types
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tracelark.llm._words import SPACED, slices
+
+    r = random.Random(9)
+    long = lambda n: " ".join(f"w{int(r.expovariate(0.02))}" for _ in range(n))
+    texts = [long(2 * LM.SEGMENT + 1), "one two three", None, "", "single", long(77), long(LM.SEGMENT + 1), long(LM.SEGMENT)]
+    every = Counter(w for t in texts for w in (t or "").split())
+    value = lambda w: next(slices(pa.array([w]), SPACED)).hash
+    m = LM.LanguageModel(np.concatenate([value(w) for w in every]), np.array(list(every.values())))
+    row = {w: int(m.rows(value(w))[1][0]) for w in every}
+    want = Counter()
+    for t in texts:
+        rows = [row[w] for w in (t or "").split()]
+        for k, r in enumerate(rows):
+            want[tuple(rows[k + s] if 0 <= k + s < len(rows) else LM.CELLS for s in (-2, -1, 1, 2)), int(m.row_class[r])] += 1
+    got = Counter()
+    monkeypatch.setattr(LM.Network, "step", lambda self, context, target: got.update((tuple(c), t) for c, t in zip(context.tolist(), target.tolist())))
+    shared = types.SimpleNamespace(value=m)
+    docs = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    cut = list(LM._gather(LM._segments(iter([docs]), shared, 1)))
+    targets = sum(x.column(1)[0].as_py() for turn in range(LM.ROUNDS) for x in LM._train(iter(cut), shared, turn))
+    assert targets == sum(want.values()) == sum(every.values()) and got == want
+
+
+def test_language_model_learns_odd_and_even_positions(spark):
+    rows = [(i, "left right " * 40) for i in range(100)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for rounds in (1, 3, LM.ROUNDS):
+        got = LM.score(d, LM.fit(d, rounds=rounds)).collect()
+        assert len(got) == 100 and all(x["mean_log_probability"] > -0.1 for x in got)
+
+
 def test_network_gradient():
     import numpy as np
 

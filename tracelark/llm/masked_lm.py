@@ -11,8 +11,9 @@ What is gathered grows with the corpus. Each distinct word is counted (by a 64-b
 have one each, the others share SHARED rows for each class.
 
 Training does not depend on how rows lie: texts are cut into segments, which a hash deals to shards of about SHARD words (their number
-follows the number of words). In each of ROUNDS rounds every shard trains from the same start, STEPS steps long, on every (2 ROUNDS)-th word as target, and the
-weights (and Adagrad's sums) are averaged by targets. All words are contexts, every second one is a target once.
+follows the number of words). In each of ROUNDS rounds every shard trains from the same start, STEPS steps long, on every ROUNDS-th word as target, each round on
+others, and the weights (and Adagrad's sums) are averaged by targets. So every word is a target once, and with its whole window: a segment brings the WINDOW words
+before and after it along, as neighbours only.
 
 Defined results: a null or wordless text has no tokens, a sum of 0 and a null mean. Rows that are equal score alike; ties have no effect. A text of any length is
 scored whole (in training it is cut into segments of SEGMENT words). An empty table gives an empty one. Only the key and the text are read, so other
@@ -184,11 +185,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _segments(batches: Iterator[pa.RecordBatch], shared, shards: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> shard, order, rows (embedding rows of a segment's words, two bytes each)."""
+    """doc_id, text -> shard, order, rows (embedding rows of a segment's words and of the neighbours beyond its cuts, two bytes each), and how many are before it, its own, after it."""
     m: LanguageModel = shared.value
     for b in batches:
         key = mix(b.column(0).fill_null(0).to_numpy().view(np.uint64))
-        to, order, rows = [], [], []
+        to, order, rows, parts = [], [], [], []
         for w in slices(b.column(1), SPACED):
             if not len(w.hash):
                 continue
@@ -199,43 +200,49 @@ def _segments(batches: Iterator[pa.RecordBatch], shared, shards: int) -> Iterato
             h = mix(sums ^ key[w.first + of])
             to += (h % np.uint64(shards)).astype(np.int64).tolist()
             order.append(h.view(np.int64))
-            rows += [row[x:y].tobytes() for x, y in zip(starts, [*starts[1:], len(row)])]
+            for x, y, i in zip(starts, [*starts[1:], len(row)], of):
+                a, z = max(x - WINDOW, int(w.at[i])), min(y + WINDOW, int(w.at[i + 1]))
+                rows.append(row[a:z].tobytes())
+                parts.append(np.array([x - a, y - x, z - y], np.int32).tobytes())
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(np.concatenate(order)), pa.array(rows, pa.binary())], ["shard", "ord", "rows"])
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(np.concatenate(order)), pa.array(rows, pa.binary()), pa.array(parts, pa.binary())], ["shard", "ord", "rows", "parts"])
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted segments -> one row for each shard (more, if it came out twice as large as meant): rows, and the segments' lengths."""
+    """Sorted segments -> one row for each shard (more, if it came out twice as large as meant): rows, and the segments' parts."""
     held: list[bytes] = []
+    parts: list[bytes] = []
     size, shard = 0, None
 
     def out() -> pa.RecordBatch:
-        got = pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([b"".join(held)], pa.binary()), pa.array([np.array([len(x) // 2 for x in held], np.int32).tobytes()], pa.binary())], ["shard", "rows", "lengths"])
+        got = pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([b"".join(held)], pa.binary()), pa.array([b"".join(parts)], pa.binary())], ["shard", "rows", "parts"])
         held.clear()
+        parts.clear()
         return got
 
     for b in batches:
-        for s, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+        for s, x, p in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
             if held and (s != shard or size > 4 * SHARD):
                 yield out()
                 size = 0
             shard = s
             held.append(x)
+            parts.append(p)
             size += len(x)
     if held:
         yield out()
 
 
-def _train(batches: Iterator[pa.RecordBatch], shared, turn: int) -> Iterator[pa.RecordBatch]:
-    """Each shard's weights and sums times its targets, added up, in chunks."""
+def _train(batches: Iterator[pa.RecordBatch], shared, turn: int, rounds: int = ROUNDS) -> Iterator[pa.RecordBatch]:
+    """Each shard's weights and sums times its targets, added up, in chunks. The turns 0 to rounds - 1 together take every word as target once."""
     m: LanguageModel = shared.value
     total, targets = np.zeros(2 * Network.SIZE), 0
     for b in batches:
-        for raw, lens in zip(b.column(1), b.column(2)):
-            row, lens = np.frombuffer(raw.as_buffer(), np.uint16), np.frombuffer(lens.as_buffer(), np.int32)
+        for raw, parts in zip(b.column(1), b.column(2)):
+            row, parts = np.frombuffer(raw.as_buffer(), np.uint16), np.frombuffer(parts.as_buffer(), np.int32).reshape(-1, 3)
             net = m.network()
-            context = contexts(row, np.repeat(np.arange(len(lens), dtype=np.int32), lens))
-            pick = np.arange(2 * turn, len(row), 2 * ROUNDS)
+            context = contexts(row, np.repeat(np.arange(len(parts), dtype=np.int32), parts.sum(1)))
+            pick = np.flatnonzero(np.repeat(np.tile([False, True, False], len(parts)), parts.ravel()))[turn::rounds]
             np.random.default_rng(turn).shuffle(pick)
             target = m.row_class[row]
             for at in np.array_split(pick, min(STEPS, len(pick))) if len(pick) else ():
@@ -294,11 +301,11 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", known: int = K
     shared = spark.sparkContext.broadcast(model)
     shards = max(1, round(total / SHARD))
     src = docs.select(F.xxhash64(col(key)).alias("doc_id"), col(text).alias("text"))
-    cut = src.mapInArrow(lambda it: _segments(it, shared, shards), "shard long, ord long, rows binary").repartition("shard").sortWithinPartitions("shard", "ord", "rows")
-    path = _store.store(cut.mapInArrow(_gather, "shard long, rows binary, lengths binary"), "shards")
+    cut = src.mapInArrow(lambda it: _segments(it, shared, shards), "shard long, ord long, rows binary, parts binary").repartition("shard").sortWithinPartitions("shard", "ord", "rows")
+    path = _store.store(cut.mapInArrow(_gather, "shard long, rows binary, parts binary"), "shards")
     kind = "chunk int, targets long, weights binary"
     for turn in range(rounds):
-        got = _store.reread(spark, path).mapInArrow(lambda it, s=shared, t=turn: _train(it, s, t), kind).repartition(CHUNKS, "chunk").mapInArrow(_sum, kind).collect()  # CHUNKS rows, 2 SIZE numbers
+        got = _store.reread(spark, path).mapInArrow(lambda it, s=shared, t=turn: _train(it, s, t, rounds), kind).repartition(CHUNKS, "chunk").mapInArrow(_sum, kind).collect()  # CHUNKS rows, 2 SIZE numbers
         if got:
             flat, seen = np.split(np.concatenate([np.frombuffer(r["weights"], np.float64) / r["targets"] for r in sorted(got, key=lambda r: r["chunk"])]), 2)
             model.flat, model.seen = flat.astype(np.float32), seen.astype(np.float32)
