@@ -643,6 +643,26 @@ def test_jaccard_counts_links(spark):
     assert got == {i: sum(1 for x in kinds if x != s and 100 * len(x & s) >= 80 * len(x | s)) for i, s in sets.items()}
 
 
+def test_jaccard_regions_leave_out_sizes_far_apart_and_common_passages(spark, monkeypatch):
+    """Sketches travel for neither; links at the very border of sizes, and among many copies, stay."""
+    made = {}
+    store = J._store.store
+    monkeypatch.setattr(J._store, "store", lambda df, name: made.setdefault(name, []).append(df.count()) or store(df, name))
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    r = random.Random(5)
+    words = lambda n: " ".join(f"{r.choice(WORDS)}{r.randrange(10**6)}" for _ in range(n))
+    got = lambda rows: sorted(key((x["doc_id"], x["n_shingles"], x["component_id"])) for x in J.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect())
+    part = words(40)
+    sizes = [(k, part + " " + words(n)) for k, n in enumerate((20, 60, 110, 180, 300))]
+    assert got(sizes) == sorted(map(key, brute_components(sizes))) and made["members"] == [0]
+    passages = [(k, part + " " + words(80)) for k in range(100)]
+    assert got(passages) == sorted(map(key, brute_components(passages))) and made["members"][1] < 100
+    whole = words(104)
+    border = [(1, whole), (2, " ".join(whole.split()[:84])), (3, " ".join(whole.split()[:83])), *((10 + k, edited(part, k % 2)) for k in range(60)), *passages[:20]]
+    want = sorted(map(key, brute_components(border)))
+    assert (2, 80, 1) in want and got(border) == want
+
+
 def test_store_needs_a_shared_folder_on_a_cluster():
     from types import SimpleNamespace as N
 

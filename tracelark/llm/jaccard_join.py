@@ -7,10 +7,11 @@ each region is joined by itself, again by pivots while it is large:
 1. Equal sets become one class. A class is known by a 64-bit digest of its set.
 2. Near copies first. The class of the least digest among those that share one of their HOMES least shingles is a pivot; a class whose
    sketch may link to its pivot takes the pivot's name as its label. This is a head start only: it finds no answer, it saves work.
-3. Coarse regions. The first pivots are the single shingles {s}, ranked: those of the crowded cells of a count of all shingles come last,
-   else by hash. All {s} within a set are equally near to it, so its home is that of the lowest rank. A document that links to x lacks at
+3. Coarse regions. The first pivots are the single shingles {s}, ranked: those of the crowded cells of a count of all shingles, and those found in
+   many texts, come last, else by hash. All {s} within a set are equally near to it, so its home is that of the lowest rank. A document that links to x lacks at
    most a fifth of x, so x is replicated to its pivots of the first |x| - ceil(0.8 |x|) + 1 ranks: two linked
-   documents surely meet. A region whose classes have one label is done; regions with the same members are one. Within a region classes of
+   documents surely meet. Linked sizes differ by a quarter at most, so a region falls apart where its sizes leave a wider gap; this is found
+   from key, class and size alone, and what has no neighbour goes on no further. A region whose classes have one label is done; regions with the same members are one. Within a region classes of
    different labels are compared by their sketches (parity bits; their Hamming distance, a metric too, is never
    above the size of the symmetric difference); those that may link are joined, which yields families.
 4. Families. Each class sends its text once to its family. There the sets are held, pivots are taken
@@ -50,6 +51,9 @@ REGION, FAMILY = 1_000, 4_000_000
 HOMES = 4
 #: Shingles are counted in 2 ** k cells, k between these by the size of the input; a cell of CROWD times the mean is crowded.
 CELLS, CROWD = (18, 22), 8
+#: Of the shingles below EARLY, where a set's first fifth lies, those that several texts have are counted, among STRETCH of them at a time; the OFTEN
+#: commonest at most that come to SEEN rank last too.
+EARLY, STRETCH, OFTEN, SEEN = np.uint64(3 * 2**64 // 10), 2_000_000, 1 << 18, 16
 #: Labels up to so many rows (16 bytes each) are broadcast.
 BROADCAST_LABELS = 1_000_000
 #: A family of more sets is dealt over the cluster, as up to WIDE blocks, though one task could hold it.
@@ -87,16 +91,55 @@ def _unpack(b: bytes, words: int) -> np.ndarray:
     return np.packbits(x).view(np.uint64)
 
 
+def _early(w) -> np.ndarray:
+    """The shingles below EARLY of each text, once a text."""
+    h = rolled(w, SIZE, True)
+    text = np.repeat(np.arange(w.n), np.diff(w.at))[:len(h)]
+    at = np.flatnonzero((h < EARLY) & (text < w.n) & (w.at[text + 1] - np.arange(len(h)) >= SIZE)) if len(h) else np.zeros(0, np.int64)
+    at = at[np.argsort(h[at], kind="stable")]
+    h, text = h[at], text[at]
+    return h[np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1]))] if len(h) else h
+
+
+def _merged(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, with the sum of its n."""
+    keys, back = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(back, n, len(keys)).astype(np.int64)
+
+
+def _most(keys: np.ndarray, n: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The limit keys of the largest n."""
+    if len(keys) <= limit:
+        return keys, n
+    best = np.sort(np.lexsort((keys, -n))[:limit])
+    return keys[best], n[best]
+
+
 def _cells(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """How many shingles of this task fall into each cell, in CHUNKS pieces."""
+    """How many shingles of this task fall into each cell, in CHUNKS pieces; then the early shingles that several of some STRETCH texts' shingles are, by the same number of chunks."""
     total = np.zeros(1 << bits, np.int64)
+    keys, n, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+    def counted():
+        k, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+        held.clear()
+        return _most(*_merged(np.concatenate([keys, k[c > 1]]), np.concatenate([n, c[c > 1]])), OFTEN)
+
     for batch in batches:
         for w in slices(batch.column(0), SPACED):
             h = rolled(w, SIZE)
             if len(h):
                 total += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    parts = np.array_split(np.minimum(total, (1 << 32) - 1).astype(np.uint32), CHUNKS)
-    yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["chunk", "n"])
+            held.append(_early(w))
+            size += len(held[-1])
+            if size > STRETCH:
+                (keys, n), size = counted(), 0
+    keys, n = counted()
+    parts = [x.tobytes() for x in np.array_split(np.minimum(total, (1 << 32) - 1).astype(np.uint32), CHUNKS)]
+    for c in range(CHUNKS):
+        mine = keys % np.uint64(CHUNKS) == c
+        parts.append(keys[mine].tobytes() + n[mine].tobytes())
+    yield pa.RecordBatch.from_arrays([pa.array(range(2 * CHUNKS), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "n"])
 
 
 CHUNKS = 64
@@ -104,29 +147,37 @@ CHUNKS = 64
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
+    often: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for b in batches:
         for c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            v = np.frombuffer(x, np.uint32).astype(np.int64)
-            sums[c] = sums[c] + v if c in sums else v
-    if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "n"])
+            if c < CHUNKS:
+                v = np.frombuffer(x, np.uint32).astype(np.int64)
+                sums[c] = sums[c] + v if c in sums else v
+            else:
+                k, n = np.frombuffer(x[:len(x) // 2], np.uint64), np.frombuffer(x[len(x) // 2:], np.int64)
+                k0, n0 = often.get(c, (k[:0], n[:0]))
+                often[c] = _most(*_merged(np.concatenate([k0, k]), np.concatenate([n0, n])), OFTEN)
+    out = {c: x.tobytes() for c, x in sums.items()} | {c: _most(k[n >= SEEN], n[n >= SEEN], OFTEN // CHUNKS)[0].tobytes() for c, (k, n) in often.items()}
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.int32()), pa.array(out.values(), pa.binary())], ["chunk", "n"])
 
 
-def crowded(src: DataFrame) -> np.ndarray:
-    """The cells of shingles that are far fuller than the mean, as flags. Only the rank of shingles follows from it, never a result."""
+def crowded(src: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of shingles that are far fuller than the mean, as flags, and single shingles of many texts, sorted. Only the rank of shingles follows from them, never a result."""
     size = int(str(src._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     bits = min(CELLS[1], max(CELLS[0], size.bit_length() - 13))
     kind = "chunk int, n binary"
-    got = src.select("text").mapInArrow(lambda it: _cells(it, bits), kind).repartition(CHUNKS, "chunk").mapInArrow(_sums, kind).collect()  # 2 ** bits numbers, 32 MB at most
-    if not got:
-        return np.zeros(1 << bits, bool)
-    n = np.concatenate([np.frombuffer(r["n"], np.int64) for r in sorted(got, key=lambda r: r["chunk"])])
-    return n > CROWD * max(1.0, n.mean())
+    got = src.select("text").mapInArrow(lambda it: _cells(it, bits), kind).repartition(CHUNKS, "chunk").mapInArrow(_sums, kind).collect()  # 2 ** bits and OFTEN numbers, 34 MB at most
+    got = sorted(got, key=lambda r: r["chunk"])
+    cells = [np.frombuffer(r["n"], np.int64) for r in got if r["chunk"] < CHUNKS]
+    n = np.concatenate(cells) if cells else np.zeros(1 << bits, np.int64)
+    often = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["n"], np.uint64) for r in got if r["chunk"] >= CHUNKS)]))
+    return n > CROWD * max(1.0, n.mean()), often
 
 
 def _measure(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """doc_id, th, text -> doc_id, th, class, n, sketch, homes, keys, hot (the keys of crowded cells; these four only for the first of a class in this task)."""
-    full = shared.value
+    """doc_id, th, text -> doc_id, th, class, n, sketch, homes, keys, hot (the keys of crowded cells and of many texts; these four only for the first of a class in this task)."""
+    full, often = shared.value
     shift = np.uint64(64 - (len(full).bit_length() - 1))
     seen: set[int] = set()
     lists = lambda xs: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(0 if x is None else len(x) for x in xs)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *(x.view(np.int64) for x in xs if x is not None)])))
@@ -141,6 +192,9 @@ def _measure(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
                     if len(seen) < 1_000_000:
                         seen.add(c)
                     late = full[(s >> shift).astype(np.int64)]
+                    if len(often):
+                        early = s[:np.searchsorted(s, EARLY)]
+                        late[:len(early)] |= often[np.minimum(np.searchsorted(often, early), len(often) - 1)] == early
                     cold = s[~late]
                     m = len(s) - (-(-4 * len(s) // 5)) + 1
                     sks.append(sketch(s))
@@ -423,18 +477,19 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", re
     near = _store.reread(spark, near_path)
     labels = near.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label"))
     labels = F.broadcast(labels) if labels.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS else labels
-    named = sets.where("sketch is not null").join(labels, F.col("class") == F.col("node"), "left")
-    label = F.coalesce("label", "class")  # after the shuffle: most rows have no label but their class
-
-    # regions with two labels or more; those with the same members are one. A crowded key may have any number of rows: it is counted first
-    cold = named.select(F.explode("keys").alias("key"), "class", "label").repartition("key").dropDuplicates(["key", "class"])
-    w = _over("key")
-    cold = cold.select("class", label.alias("label"), F.min(label).over(w).alias("x"), F.max(label).over(w).alias("y"), F.count("*").over(w).alias("c"), F.bit_xor(F.xxhash64("class")).over(w).alias("s1"), F.bit_xor(F.xxhash64("class", F.lit(1))).over(w).alias("s2")).where("x <> y")
-    hot = named.select(F.explode("hot").alias("s1"), "class", label.alias("label")).distinct()
+    named = lambda df: df.join(labels, F.col("class") == F.col("node"), "left").drop("node").withColumn("label", F.coalesce("label", "class"))
+    first = sets.where("sketch is not null")
+
+    # regions with two labels or more, cut where sizes leave a gap that no link spans; those with the same members are one. Only key, class and size
+    # are dealt out for all; labels and, later, sketches are fetched for what is left. A crowded key may have any number of rows: it is counted first
+    cold = _chained(first.select(F.explode("keys").alias("key"), "class", "n").repartition("key"))
+    w = _over("key", "chain")
+    cold = named(cold).select("class", "n", "label", F.min("label").over(w).alias("x"), F.max("label").over(w).alias("y"), F.count("*").over(w).alias("c"), F.bit_xor(F.xxhash64("class")).over(w).alias("s1"), F.bit_xor(F.xxhash64("class", F.lit(1))).over(w).alias("s2")).where("x <> y")
+    hot = named(first.select(F.explode("hot").alias("s1"), "class", "n")).distinct()
     mixed = hot.groupBy("s1").agg(F.count("*").alias("c"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("s1", "c")
-    hot = hot.join(mixed, "s1").select("class", "label", "c", "s1", F.lit(0).cast("long").alias("s2"))
-    members_path = _store.store(cold.select("class", "label", "c", "s1", "s2").unionByName(hot).distinct(), "members")
-    members = _store.reread(spark, members_path).join(drawn, "class")
+    hot = hot.join(mixed, "s1").select("class", "n", "label", "c", "s1", F.lit(0).cast("long").alias("s2"))
+    members_path = _store.store(cold.select("class", "n", "label", "c", "s1", "s2").unionByName(hot).distinct(), "members")
+    members = _store.reread(spark, members_path).join(drawn.select("class", "sketch"), "class")
     small = members.where(F.col("c") <= region).select("s1", "s2", F.lit(0).alias("band"), F.lit(0).alias("pair"), "class", "n", "sketch", "label")
     band = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
     large = members.where(F.col("c") > region).withColumn("band", F.explode(F.array(band + 1, band + 2)))
@@ -451,8 +506,9 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", re
     size = fam.groupBy("comp").agg(F.greatest(F.ceil(F.sum("n") / family), F.least(F.ceil(F.count("*") / SPREAD), F.lit(WIDE))).cast("int").alias("blocks"))
     fam_path = _store.store(fam.join(size, "comp").select("class", "comp", "blocks", "doc_id", "th"), "families")
     fam = _store.reread(spark, fam_path)
-    d = marked(src, "th", sieve(fam, "th")).where("sieve_hit").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "text")
-    got = fam.join(d, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).groupBy("class", "comp", "blocks").agg(F.first("text").alias("text"))  # rows equal in id and text: one
+    rid = [F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("z"), F.col("th").alias("t")]
+    d = marked(src, "th", sieve(fam, "th")).where("sieve_hit").groupBy(*rid).agg(F.first("text").alias("text"))  # rows equal in id and text: one
+    got = fam.select("class", "comp", "blocks", *rid).join(d, ["d", "z", "t"])
     block = F.pmod(F.xxhash64("class", F.lit(9)), F.col("blocks")).cast("int")
     got = got.select("comp", F.explode(_pairs_of(block, F.col("blocks"))).alias("pair"), "class", block.alias("block"), "text", "blocks").withColumn("cross", F.col("pair") % (F.col("blocks") + 1) != 0).drop("blocks").repartition("comp", "pair").sortWithinPartitions("comp", "pair")
     found_schema = pa.schema([("class", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
@@ -475,10 +531,19 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", re
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "root")
 
 
-def _over(key: str):
+def _over(*keys: str):
     from pyspark.sql import Window
 
-    return Window.partitionBy(key)
+    return Window.partitionBy(*keys)
+
+
+def _chained(rows: DataFrame) -> DataFrame:
+    """key, class, n -> key, chain, class, n, each once. Sizes of a key's rows that follow one another by a quarter at most are a chain, so linked sets are in one; chains of one row go."""
+    w = _over("key").orderBy("n")
+    near = lambda a, b: F.coalesce(4 * F.col(b) <= 5 * F.col(a), F.lit(False))
+    rows = rows.select("key", "class", "n", F.lag("n").over(w).alias("before"), F.lead("n").over(w).alias("after"))
+    rows = rows.select("key", "class", "n", near("before", "n").alias("goes_on"), near("n", "after").alias("ahead")).where("goes_on or ahead")
+    return rows.select("key", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(w).alias("chain"), "class", "n").distinct()
 
 
 def _pairs_of(block, blocks):
