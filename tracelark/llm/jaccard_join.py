@@ -139,6 +139,8 @@ def _cells(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBa
     for c in range(CHUNKS):
         mine = keys % np.uint64(CHUNKS) == c
         parts.append(keys[mine].tobytes() + n[mine].tobytes())
+    del total, keys, n
+    give_back()
     yield pa.RecordBatch.from_arrays([pa.array(range(2 * CHUNKS), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "n"])
 
 
