@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +34,16 @@ def test_splits(spark):
     assert one(spark, "GPSs", lambda c: X.process_word(c, stemmed=False)) == "gps"
 
 
+def test_cleaned_words_are_cut_as_raw_words(spark):
+    r = random.Random(5)
+    rows = [("".join(r.choices("aabsssABSSUV  _.9é\n", k=r.randint(0, 30))),) for _ in range(3000)] + [("UAVs UAVsUAVs XMLs",), ("",), (None,)]
+    c = X.clean_characters(F.coalesce(F.col("x"), F.lit("")))
+    got = spark.createDataFrame(rows, "x string").select(F.array_join(X.clean_words(c), " ").alias("a"), F.array_join(X.raw_words(c), " ").alias("b"))
+    assert all(x["a"] == x["b"] for x in got.collect())
+    both = spark.createDataFrame(rows, "x string").select(X.split_acronyms(c).alias("a"), F.trim(F.regexp_replace(F.regexp_replace(c, r"(?<=\p{Lu})s(?=$|\s|\p{Lu})", " s "), " {2,}", " ")).alias("b"), X._less_final_s(c).alias("d"), F.regexp_replace(c, r"(?<=\p{Lu})s(?=\s|$)", "").alias("e"))
+    assert all(x["a"] == x["b"] and x["d"] == x["e"] for x in both.collect())
+
+
 def test_pairs_and_tags(spark):
     df = spark.createDataFrame([("flight", "pattern"), ("", "x"), ("y", None)], "a string, b string")
     assert [r[0] for r in df.select(X.canonical(F.col("a"), F.col("b"))).collect()] == ["flightPattern", "x", "y"]
