@@ -116,3 +116,11 @@ def test_stream(spark, tmp_path):
     q = term_counts(stream).writeStream.format("memory").queryName("terms").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
     q.awaitTermination(60)
     assert {r["term"]: r["n"] for r in spark.table("terms").collect()} == {"a": 2, "b": 2}
+
+
+def test_matrix_rows_of_many_targets(spark):
+    # a look-up that goes through a row's links for each target would take minutes here
+    targets = [f"t{i:06}" for i in range(40_000)]
+    links = spark.range(80_000).selectExpr("concat('s', id % 2) source_id", "format_string('t%06d', id div 2) target_id", "(id div 2) / 40000 score").where("score >= 0.25").unionByName(spark.createDataFrame([("s0", "t000001", None)], "source_id string, target_id string, score double"))
+    got = {r["source_id"]: r["scores"] for r in W.link_rows(links, targets).collect()}
+    assert sorted(got) == ["s0", "s1"] and all(x == ["0.0000"] * 10_000 + [f"{i / 40_000 + 1e-12:.4f}" for i in range(10_000, 40_000)] for x in got.values())
