@@ -7,7 +7,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 
-from tracelark.operators import blocks as B, evaluate as V, links as L, models as M, paths as P
+from tracelark.operators import blocks as B, evaluate as V, links as L, models as M, paths as P, shares as S
+from tracelark.plans import queries as engine
 
 
 def corpus(spark, p, texts):
@@ -79,3 +80,31 @@ def test_average_precision_ranks_up_to_the_last_hit(spark):
     assert sorted(r["target_id"] for r in V.up_to_last_hit(lab, V.last_hits(lab)).collect()) == ["t0", "t1", "t2", "t8", "t9"]
     got = {r["source_id"]: r["ap"] for r in V.average_precision(links, gold).collect()}
     assert got == {"a": pytest.approx((1 + 2 / 3) / 3), "b": 0.0, "c": 0.5}
+
+
+@pytest.mark.parametrize("most, dense", [(5, True), (1000, False)])
+def test_two_models_of_a_block_need_no_join(spark, monkeypatch, most, dense):
+    s, t = corpus(spark, "s", texts(5, 9) + ["", "only here"]), corpus(spark, "t", texts(6, 15) + [None, "alone there w1"])
+    for name, value in (("ROWS", 9), ("LINKS", 150), ("CELLS", 50)):
+        monkeypatch.setattr(B, name, value)
+    monkeypatch.setattr(S, "TERMS", most)
+    v, j = as_rows(M.vsm(s, t, dense, digits=9)), as_rows(M.jsd(s, t, dense, 9))
+    got = {(r["source_id"], r["target_id"]): (r["a"], r["b"]) for r in M.vsm_and_jsd(s, t, dense, 9).collect()}
+    assert got.keys() == v.keys() | j.keys() and len(got) > 50
+    assert all(got[k] == tuple(None if k not in m else pytest.approx(m[k], abs=2e-9) for m in (v, j)) for k in got)
+
+
+def test_operators_on_links_side_by_side(spark):
+    two = spark.createDataFrame([("s", "t1", 0.8, 0.2), ("s", "t2", 0.4, None), ("s", "t3", None, 0.6), ("s", "t4", 0.0, 0.0), ("s", "t5", None, 0.1)], "source_id string, target_id string, a double, b double")
+    v, j = (two.selectExpr("source_id", "target_id", f"{c} score").where("score is not null") for c in ("a", "b"))
+    assert as_rows(L.average_of(two)) == as_rows(L.average(v, j)) and as_rows(L.maximum_of(two)) == as_rows(L.maximum(v, j))
+    assert as_rows(L.upsert_of(two, 0.1)) == as_rows(L.upsert(v, L.above(j, 0.1)))
+    assert all(as_rows(L.fuse_of(two, k)) == as_rows(L.fuse(v, j, k)) for k in ("avg", "max", "guarded_avg"))
+
+
+@pytest.mark.parametrize("name", ["vsm_jsd_mean", "max_links", "upsert_links", "fuse_avg", "fuse_max", "fuse_guarded"])
+def test_links_of_two_models_are_not_shuffled(spark, tmp_path, name):
+    for table, columns in (("benchmark", "item_id long, text string"), ("documents", "doc_id long, text string")):
+        spark.createDataFrame(list(enumerate(texts(7, 6))), columns).write.parquet(f"{tmp_path}/{table}.parquet")
+    plan = engine.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" in plan and "Join" not in plan

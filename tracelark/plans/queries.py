@@ -159,14 +159,12 @@ def _wilcoxon(spark, sf):
 
 
 def _upserted(spark, sf):
-    v, j = _two_models(spark, sf, False)
-    return L.upsert(v, L.above(j, 0.1))
+    return L.upsert_of(_two_models(spark, sf, False), 0.1)
 
 
 def _two_models(spark, sf, dense):
-    """Cosines and divergences from one normalisation of the texts."""
-    s, t = _both(spark, sf)
-    return M.vsm(s, t, dense, digits=DIGITS), M.jsd(s, t, dense, DIGITS)
+    """Cosines and divergences side by side, from one normalisation of the texts."""
+    return M.vsm_and_jsd(*_both(spark, sf), dense, DIGITS)
 
 
 def _matrix(spark, sf):
@@ -189,14 +187,14 @@ QUERIES = {
     "vsm_above": lambda s, d: L.above(vsm_links(s, d, dense=False), 0.1),
     "vsm_below": lambda s, d: L.below(vsm_links(s, d), 0.01),
     "jsd_links": lambda s, d: jsd_links(s, d),
-    "vsm_jsd_mean": lambda s, d: L.average(*_two_models(s, d, True)),
+    "vsm_jsd_mean": lambda s, d: L.average_of(_two_models(s, d, True)),
     "lsi_links": lambda s, d: rounded(M.lsi(corpus(s, d, "s"), corpus(s, d, "t"), False)),
     "union_links": lambda s, d: rounded(M.union(corpus(s, d, "s"), corpus(s, d, "t"))),
     "relative_topk": lambda s, d: L.relative_top_k(vsm_links(s, d, dense=False, best=3)),
-    "fuse_avg": lambda s, d: L.fuse(*_two_models(s, d, True)),
-    "fuse_max": lambda s, d: L.fuse(*_two_models(s, d, True), strategy="max"),
-    "fuse_guarded": lambda s, d: L.fuse(*_two_models(s, d, True), strategy="guarded_avg"),
-    "max_links": lambda s, d: L.maximum(*_two_models(s, d, False)),
+    "fuse_avg": lambda s, d: L.fuse_of(_two_models(s, d, True)),
+    "fuse_max": lambda s, d: L.fuse_of(_two_models(s, d, True), strategy="max"),
+    "fuse_guarded": lambda s, d: L.fuse_of(_two_models(s, d, True), strategy="guarded_avg"),
+    "max_links": lambda s, d: L.maximum_of(_two_models(s, d, False)),
     "upsert_links": _upserted,
     "identifier_pairs": lambda s, d: E.merge_pairs(_part_pairs(s, d)).select("artifact_id", "canonical", F.col("weight").cast("long").alias("weight")),
     "biterm_freq": lambda s, d: E.pair_frequencies(E.adjacent_pairs(corpus(s, d, "m", tokens=True))).select("artifact_id", "biterm", F.col("freq").cast("long").alias("freq")),
