@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from tracelark.operators import enrich as E
 from tracelark.plans import queries as engine
 
 R = random.Random(3)
@@ -54,3 +55,15 @@ def test_both_sides_are_enriched(spark, tmp_path):
     want = {k: (a.get(k, 0) + b.get(k, 0)) / 2 for k in a.keys() | b.keys()}
     got = {(r["source_id"], r["target_id"]): r["score"] for r in engine.QUERIES["enriched_links"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want)
+
+
+@pytest.mark.parametrize("voters", [3, 2048])
+def test_best_votes_are_the_selected_votes(spark, monkeypatch, voters):
+    monkeypatch.setattr(E, "VOTERS", voters)
+    links = spark.createDataFrame([(f"a{i}", f"n{R.randrange(9)}", R.choice([0.2, 0.4, 0.7, 0.71])) for i in range(30) for _ in range(4)] + [("zero", "n1", 0.0)], "source_id string, target_id string, score double").dropDuplicates(["source_id", "target_id"]).localCheckpoint()
+    freq = spark.createDataFrame([(f"n{i}", f"{a} {b}", R.choice([1, 2, 7])) for i in range(8) for a in WORDS[:8] for b in WORDS[:8] if R.random() < 0.7], "artifact_id string, biterm string, freq long")
+    for params in (E.EnrichParams(), E.EnrichParams(top_k=2, share=0.6, max_pairs=5, min_agree=0.5)):
+        rows = lambda v: sorted((r["artifact_id"], r["biterm"], r["rank"], r["reps"], round(r["vote"], 8)) for r in E.selected_pairs(v, params).collect())  # noqa: B023, E731
+        best = E.best_votes(links, freq, params)
+        assert rows(best) == rows(E.votes(links, freq, params)) and len(rows(best)) > 50
+        assert "part" in best._jdf.queryExecution().executedPlan().toString() and best.count() == len(rows(best))  # no vote that fails is a row
